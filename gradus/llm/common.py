@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,12 @@ def crc_mod(n: int, col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once for each row. A plain projection may be inlined into the lambdas that use
+    it, and then be computed anew for each element; no rule inlines through a generator."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -61,3 +68,40 @@ def stored(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when a stored table is known to have few rows; else let it shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def stored_table(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back; unlike a checkpoint its columns can be pruned.
+
+    The folder goes when the session's JVM ends.
+    """
+    spark = with_checkpoint_dir(df.sparkSession)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/gradus-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Of undirected links (a, b), both directions given: (node, component), the smallest node that links reach.
+
+    Labels take the least of their neighbours' and then jump to the label's own label, so that even long chains end
+    after about log2 of their length rounds. Each round is stored, which keeps plans short.
+    """
+    labels = stored(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    while True:
+        near = (
+            links.join(labels.withColumnRenamed("node", "b"), "b")
+            .groupBy("a")
+            .agg(F.min("label").alias("near"))
+            .withColumnRenamed("a", "node")
+        )
+        lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
+        jump = lower.select(F.col("node").alias("low"), F.col("low").alias("far"))
+        fresh = stored(
+            lower.join(jump, "low").select("node", F.least("low", "far").alias("label"), (F.least("low", "far") < F.col("label")).alias("moved"))
+        )
+        labels = fresh.select("node", "label")
+        if fresh.where("moved").isEmpty():
+            return labels.withColumnRenamed("label", "component")

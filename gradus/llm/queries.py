@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_encode
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .ngram_jaccard import ngram_jaccard
 from .token_counts import token_counts
 
 
@@ -32,12 +33,16 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_documents(spark, sf_dir), path, public_tokenizers.PATTERN, ids=False, digests=True)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(_documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_byte_bpe, op10_token_counts)
+    f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_byte_bpe, op5_ngram_jaccard, op10_token_counts)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -59,4 +64,20 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id <> first_id) A
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos)
                        FILTER (WHERE first_id IS NULL OR doc_id = first_id), '')) AS kept_sha256
 FROM k LEFT JOIN f USING (key) GROUP BY doc_id""",
+    "op5_ngram_jaccard": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[ \\t\\n\\x0B\\f\\r]+'),
+                             lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (s)
+      WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles,
+       (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_similar, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id""",
 }
