@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, quality
 from .byte_bpe import bpe_encode
+from .common import crc_mod
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .ngram_jaccard import ngram_jaccard
@@ -37,12 +39,24 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = quality.quality(_documents(spark, sf_dir), labels, crc_mod(5) != 0)
+    return out.select("doc_id", (crc_mod(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    out = language_id.language_id(docs, language_id.fit(docs, crc_mod(3) != 1))
+    return out.select("doc_id", (crc_mod(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_byte_bpe, op5_ngram_jaccard, op10_token_counts)
+    f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_byte_bpe, op5_ngram_jaccard, op6_quality, op7_language_id, op10_token_counts)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
