@@ -12,6 +12,7 @@ from . import language_id, quality
 from .byte_bpe import bpe_encode
 from .common import crc_mod
 from .exact_dedup import exact_dedup
+from .fingerprints import edit_likeness
 from .line_dedup import line_dedup
 from .ngram_jaccard import ngram_jaccard
 from .token_counts import token_counts
@@ -51,12 +52,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(_documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_byte_bpe, op5_ngram_jaccard, op6_quality, op7_language_id, op10_token_counts)
+    f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_byte_bpe, op5_ngram_jaccard, op6_quality, op7_language_id, op8_fingerprints, op10_token_counts)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
