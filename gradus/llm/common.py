@@ -73,14 +73,23 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def stored_table(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back; unlike a checkpoint its columns can be pruned.
 
-    The folder goes when the session's JVM ends.
+    The folder goes when the session's JVM ends, or with unstored().
     """
     spark = with_checkpoint_dir(df.sparkSession)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/gradus-{uuid.uuid4().hex}"
     df.write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def unstored(table: DataFrame) -> None:
+    """Delete what stored_table() wrote; nothing may read it any more."""
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from .exact_dedup import exact_dedup
 from .fingerprints import edit_likeness
 from .line_dedup import line_dedup
 from .ngram_jaccard import ngram_jaccard
+from .pitman_yor import lm_scores
 from .token_counts import token_counts
 
 
@@ -56,12 +57,17 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(_documents(spark, sf_dir))
 
 
+def op9_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scores(_documents(spark, sf_dir), crc_mod(7) != 2)
+    return out.select("doc_id", (crc_mod(7) == 2).alias("held_out"), *out.columns[1:])
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_byte_bpe, op5_ngram_jaccard, op6_quality, op7_language_id, op8_fingerprints, op10_token_counts)
+    f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_byte_bpe, op5_ngram_jaccard, op6_quality, op7_language_id, op8_fingerprints, op9_pitman_yor_lm, op10_token_counts)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
