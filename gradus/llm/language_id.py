@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import non_null_id, whole
 from .prefix_bpe import Memo
 
 #: Runs of letters (and of the few numerals that count as alphanumeric but aren't digits).
@@ -108,21 +107,22 @@ def fit(docs: DataFrame, train: Column, *, per_language: int = 500, id_col: str
 
 
 def language_id(
-    docs: DataFrame, model: WordFirst, *, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, model: WordFirst, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score.
+    """One row per input row: doc_id, lang_pred, score, then the columns named in `carry` as they are.
 
     Whole texts are scored: the sum over words, unseen ones by their longest known n-grams, and the prior. `score` is
     the posterior of the predicted language. A null text, one without letters and any text under a model without
     languages are `und` with score 0. Null and repeated identifiers are given back as they are. An empty table gives
     an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("scored"), *carry)
     schema = T.StructType(
         [
             T.StructField("doc_id", rows.schema["doc_id"].dataType),
             T.StructField("lang_pred", T.StringType()),
             T.StructField("score", T.DoubleType()),
+            *rows.schema.fields[2:],
         ]
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -132,7 +132,12 @@ def language_id(
         for batch in batches:
             found = [scorer(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
+                [
+                    batch.column(0),
+                    pa.array([x[0] for x in found], pa.string()),
+                    pa.array([x[1] for x in found], pa.float64()),
+                    *batch.columns[2:],
+                ],
                 names=schema.names,
             )
 

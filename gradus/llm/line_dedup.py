@@ -7,17 +7,22 @@ parts' first occurrences, at most one document for each part, are then streamed
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, non_null_id, shuffle_partitions, stored, whole
+from .common import SPACE, ascii_lower, non_null_id, shuffle_partitions, stored
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return whole(docs, id_col, text_col).select(
-        "doc_id", "text", non_null_id().alias("id"), F.xxhash64("text").alias("version")
+def _rows(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    carried = F.struct(*carry) if carry else F.lit(None)
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), carried.alias("carried")
     )
+    rows = rows if carry else rows.drop("carried")
+    return rows.withColumns({"id": non_null_id(), "version": F.xxhash64("text")})
 
 
 def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -65,8 +70,11 @@ def _dense(words: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda w: F.coalesce(F.element_at(by_word, w), F.lit(-1)))
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_dropped, words (keep bitmap, null: all kept), text (kept lines).
+def line_dedup(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, carry: Sequence[str] = ()
+) -> DataFrame:
+    """One row per input row: doc_id, n_lines, n_dropped, words (keep bitmap, null: all kept), text (kept lines),
+    then the columns named in `carry` as they are.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least `min_chars`
     code points that occur in several documents keep their lines in the smallest identifier only, where repeated
@@ -75,7 +83,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     maps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_chars=min_chars)
     maps = maps.withColumn("dense", _dense(F.col("words")))
-    joined = _rows(docs, id_col, text_col).join(maps.hint("shuffle_hash"), ["id", "version"], "left")
+    joined = _rows(docs, id_col, text_col, carry).join(maps.hint("shuffle_hash"), ["id", "version"], "left")
     lines = F.split("text", "\n", -1)
 
     def stays(_line: Column, pos: Column) -> Column:
@@ -90,4 +98,5 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         F.when(F.col("words").isNull(), F.col("text"))
         .otherwise(F.array_join(F.filter(lines, stays), "\n"))
         .alias("text"),
+        *[F.col("carried")[c].alias(c) for c in carry],
     )

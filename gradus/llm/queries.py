@@ -14,6 +14,7 @@ from .common import crc_mod
 from .exact_dedup import exact_dedup
 from .fingerprints import edit_likeness
 from .line_dedup import line_dedup
+from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
 from .pitman_yor import lm_scores
 from .token_counts import token_counts
@@ -37,6 +38,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_documents(spark, sf_dir), path, public_tokenizers.PATTERN, ids=False, digests=True)
 
 
+#: Target weights of the mixture; sources that aren't named weigh 1.
+WEIGHTS = {"src0": 4, "src1": 2, "src2": 3}
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_documents(spark, sf_dir), WEIGHTS)
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_documents(spark, sf_dir))
 
@@ -67,7 +76,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_byte_bpe, op5_ngram_jaccard, op6_quality, op7_language_id, op8_fingerprints, op9_pitman_yor_lm, op10_token_counts)
+    f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_byte_bpe, op4_mix_sources, op5_ngram_jaccard, op6_quality, op7_language_id, op8_fingerprints, op9_pitman_yor_lm, op10_token_counts)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
