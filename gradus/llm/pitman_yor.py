@@ -104,7 +104,7 @@ class Spelling:
         """Of the last byte after the bytes before it, of which each level looks at one less."""
         level = self.top if level is None else level
         p = np.full(len(kinds), 1 / 256)
-        for k in range(1, level + 1):
+        for k in range(1, level + 1 if len(self.kinds[1]) else 1):
             own = kinds & ((1 << 8 * k) - 1)
             at, known = _find(self.kinds[k], own)
             context, seen = self._context(k, own)
