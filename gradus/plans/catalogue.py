@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import text as X
 from ..operators import rows as R
+from . import annotation as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -260,3 +262,99 @@ def workflow_trace_metrics(spark, d):
 def solution_steps(spark, d):
     turns = _t(spark, d, "conversations").groupBy("conv_id")
     return turns.agg(F.count(F.lit(1)).alias("steps"), F.max_by("text", "turn").alias("last"))
+
+
+@query("""SELECT doc_id, 'head' AS part FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 5) UNION ALL
+ SELECT doc_id, 'tail' FROM (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 5)""")
+def take_head_tail(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id")
+    head = docs.orderBy("doc_id").limit(5).withColumn("part", F.lit("head"))
+    return head.unionByName(docs.orderBy(F.desc("doc_id")).limit(5).withColumn("part", F.lit("tail")))
+
+
+@query("""SELECT doc_id, lang FROM (SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang
+ ORDER BY md5('3|' || CAST(doc_id AS VARCHAR)), doc_id) <= 15) ORDER BY md5('4|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 40""")
+def per_domain_then_total(spark, d):
+    capped = R.sample_balanced(_t(spark, d, "documents"), 15, "lang", "doc_id", 3)
+    return R.sample(capped, 40, "doc_id", 4).select("doc_id", "lang")
+
+
+@query("""SELECT count(*) AS rows, count(*) FILTER (WHERE text IS NULL) AS no_text, count(*) FILTER (WHERE lang IS NULL) AS no_lang,
+ (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)) AS duplicate_ids FROM documents""")
+def validate_format(spark, d):
+    each = _t(spark, d, "documents").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").isNull()).alias("t"), F.count_if(F.col("lang").isNull()).alias("l")
+    )
+    return each.agg(
+        F.sum("n").alias("rows"), F.sum("t").alias("no_text"), F.sum("l").alias("no_lang"), F.count_if(F.col("n") > 1).alias("duplicate_ids")
+    )
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN 'de' WHEN 2 THEN 'en' ELSE 'zh' END AS language FROM documents""")
+def normalize_language(spark, d):
+    name = F.expr("CASE doc_id % 4 WHEN 0 THEN upper(lang) WHEN 1 THEN ' German' WHEN 2 THEN 'klingon' ELSE 'zh-CN' END")
+    return _t(spark, d, "documents").select("doc_id", X.normalise_language(name).alias("language"))
+
+
+@query("SELECT p_partkey, ['A: ' || p_brand, 'B: ' || p_type] AS options FROM part")
+def extract_options(spark, d):
+    text = F.expr("'Which? (A) ' || p_brand || ' (B) ' || p_type")
+    return _t(spark, d, "part").select("p_partkey", X.extract_options(text).alias("options"))
+
+
+@query(f"""WITH {_ANSWERS} SELECT l_orderkey, l_linenumber, CASE r % 3 WHEN 0 THEN 'number' WHEN 1 THEN 'formula' ELSE 'text' END AS category
+ FROM lines""")
+def detect_category(spark, d):
+    text = F.expr("CASE r % 3 WHEN 0 THEN '$' || q || '$' WHEN 1 THEN q || ' m/s' ELSE 'some words' END")
+    return _lines(spark, d).select("l_orderkey", "l_linenumber", X.detect_category(text).alias("category"))
+
+
+@query(f"WITH {_ANSWERS} SELECT l_orderkey, l_linenumber, q || ' v + u' AS latex FROM lines")
+def latex_normalize(spark, d):
+    text = F.expr(r"q || '\\,\\vec{v} \\quad+  \\hat{u}'")
+    return _lines(spark, d).select("l_orderkey", "l_linenumber", X.preprocess_latex(text).alias("latex"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE page_id END AS number FROM pages ORDER BY number NULLS LAST")
+def file_number_sort(spark, d):
+    stem = F.expr("CASE WHEN page_id % 5 = 0 THEN 'cover' ELSE string(page_id) END")
+    number = stem.try_cast("bigint")
+    return _t(spark, d, "pages").select("page_id", number.alias("number")).orderBy(F.asc_nulls_last("number"))
+
+
+@query("SELECT lang, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
+def first_seen_regroup(spark, d):
+    return _t(spark, d, "documents").groupBy("lang").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).orderBy("first_id")
+
+
+@query("""SELECT count(*) AS total, CAST(sum(n) AS BIGINT) AS theorems, count(*) FILTER (WHERE n > 0) AS with_theorems,
+ CAST(sum(n) AS DOUBLE) / count(*) AS average FROM (SELECT CAST(json_extract(props, '$.k') AS BIGINT) % 4 AS n FROM events)""")
+def theorem_counters(spark, d):
+    n = F.from_json("props", "k long")["k"] % 4
+    events = _t(spark, d, "events").select(F.size(F.array_repeat(F.lit("t"), n.cast("int"))).cast("long").alias("n"))
+    return events.agg(
+        F.count(F.lit(1)).alias("total"), F.sum("n").alias("theorems"), F.count_if(F.col("n") > 0).alias("with_theorems"), F.avg("n").alias("average")
+    )
+
+
+@query("""SELECT d.doc_id, count(*) AS lines, CAST(max(coalesce(toxic, 0)) AS INT) AS flagged FROM (SELECT doc_id,
+ unnest(string_split(text, chr(10))) AS line FROM documents) d LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+def review_join(spark, d):
+    lines = _t(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    counted = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))  # before the join: fewer rows to move
+    return counted.join(_t(spark, d, "labels"), "doc_id", "left").select("doc_id", "lines", F.coalesce("toxic", F.lit(0)).cast("int").alias("flagged"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'optics' WHEN c_nationkey % 3 = 1 THEN 'quantum_mechanics' ELSE 'other' END AS domain
+ FROM customer""")
+def normalize_domain(spark, d):
+    name = F.expr("CASE c_nationkey % 3 WHEN 0 THEN 'OPTICS' WHEN 1 THEN 'Quantum-Mechanics' ELSE 'cooking' END")
+    return _t(spark, d, "customer").select("c_custkey", C.normalise_domain(name).alias("domain"))
+
+
+@query("""SELECT conv_id, turn, ['other', 'optics'] AS domains, 'success' AS status FROM conversations""")
+def annotate_domains(spark, d):
+    reply = '{"domains": ["Cooking", "Optics"], "confidence": 0.5}'
+    label = lambda df: A.ask(df, F.col("text"), lambda: A.Stub(reply), "label").withColumn("found", A.parse_domains(F.col("label")))
+    done = A.Workflow().add("label", label).run(_t(spark, d, "conversations").select("conv_id", "turn", "text"))
+    return done.select("conv_id", "turn", F.col("found.domains").alias("domains"), F.col("trace")[0]["status"].alias("status"))
