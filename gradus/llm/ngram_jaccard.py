@@ -8,7 +8,8 @@ at a boundary into the next region, and an exact join inside each region. The re
 * Sizes of similar sets differ by at most the threshold's ratio. Documents fall in bands of size; those within that
   ratio of the upper edge are copied into the next band.
 * In a band, similar sets differ in at most k shingles, so when the shingles' hash space is cut in k + 1 ranges, they
-  agree entirely on one range. A region is a band, a range and the content on it.
+  agree entirely on one range. A region is a band, a range and the content on it. A few ranges more make sure that
+  they agree on one that isn't empty; only sets with still more empty ranges take part in regions without content.
 * Regions of more than `region` sets are joined otherwise: their sets' shingles are ordered by how rare they are
   among them, and similar sets share a shingle of their first ones, as many as may differ and one more.
 
@@ -72,16 +73,22 @@ class Bands:
         next_ = F.floor((F.log(n) + math.log(self.ratio) * (1 + 1e-6)) / self.edge).cast("int")
         return F.when(n == 0, F.array(F.lit(-1))).when(own == next_, F.array(own)).otherwise(F.array(own, next_))
 
-    def ranges(self, band: Column) -> Column:
-        """One more than the shingles in which two similar sets of the band may differ."""
+    def spare(self, apart: Column) -> Column:
+        """Ranges beyond the pigeonhole's: as many as few sets of the band have ranges without a shingle. Then similar
+        sets agree on a range that isn't empty, unless both have more empty ranges than that."""
+        empty = apart * math.exp(-(100 + self.percent) / (100 - self.percent) / 2 * (self.percent / 100) ** (self.WIDE + 1))
+        return F.when(apart < 24, 0).otherwise(F.ceil(empty + 4 * F.sqrt(empty)) + 1).cast("int")
+
+    def apart(self, band: Column) -> Column:
+        """The most shingles in which two similar sets of the band may differ."""
         largest = F.ceil(F.exp((band + 1) * self.edge))
-        apart = 2 * (100 - self.percent) / (100 + self.percent)
-        return F.when(band < 0, 0).otherwise(F.floor(largest * apart + 1e-6) + 1).cast("int")
+        return F.floor(largest * (2 * (100 - self.percent) / (100 + self.percent)) + 1e-6).cast("int")
 
 
 def _signatures(rows: DataFrame, bands: Bands) -> DataFrame:
     """Adds `signatures`, a hash of each region of a set in its band; hashes that collide only cost a verification."""
-    rows = computed(rows, "m", bands.ranges(F.col("band")))
+    rows = rows.withColumn("apart", bands.apart(F.col("band"))).withColumn("spare", bands.spare(F.col("apart")))
+    rows = computed(rows, "m", F.when(F.col("band") < 0, 0).otherwise(F.col("apart") + F.col("spare") + 1))
 
     def range_of(s: Column) -> Column:
         return F.least(F.floor((s.cast("double") * 2.0**-64 + 0.5) * F.col("m")).cast("int"), F.col("m") - 1)
@@ -102,7 +109,8 @@ def _signatures(rows: DataFrame, bands: Bands) -> DataFrame:
     taken = F.transform("starts", lambda start: range_of(item(start)))
     every = F.when(F.col("m") > 0, F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array().cast("array<int>"))
     empty = F.transform(F.array_except(every, taken), lambda c: F.xxhash64("band", c, F.lit("empty")))
-    return rows.withColumn("signatures", F.concat(full, empty))
+    many_empty = F.col("m") - F.size("starts") > F.col("spare")
+    return rows.withColumn("signatures", F.when(many_empty, F.concat(full, empty)).otherwise(full))
 
 
 def _similar(a: Column, b: Column, common: Column, percent: int) -> Column:
@@ -122,6 +130,30 @@ def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
     return a.join(b, "shingle").where((F.col("a") < F.col("b")) & fits).select("a", "b")
 
 
+#: Longs of the parity sketch of a set.
+PARITIES = 16
+
+
+def _may_be_similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Drop pairs that can't be similar, before whole sets move. A sketch has the parities of the shingles by hash;
+    sets differ in at least as many shingles as their sketches differ in bits."""
+    shingles = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    bit = F.expr("shiftleft(1L, cast(shingle & 63 AS int))")
+    word = F.expr(f"pmod(shiftright(shingle, 6), {PARITIES})")
+    sketches = stored(
+        shingles.withColumns({"bit": bit, "word": word})
+        .groupBy("node")
+        .agg(
+            F.first("n").alias("n"),
+            *[F.coalesce(F.bit_xor(F.when(F.col("word") == k, F.col("bit"))), F.lit(0)).alias(f"p{k}") for k in range(PARITIES)],
+        )
+    )
+    sides = [broadcast_if_small(sketches.toDF(x, *[f"{x}_{c}" for c in sketches.columns[1:]]), 200_000) for x in ("a", "b")]
+    apart = sum(F.bit_count(F.col(f"a_p{k}").bitwiseXOR(F.col(f"b_p{k}"))) for k in range(PARITIES))
+    allowed = (100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(allowed).select("a", "b")
+
+
 def ngram_jaccard(
     docs: DataFrame,
     *,
@@ -193,7 +225,7 @@ def ngram_jaccard(
     sets = stored_table(sets.select("node", "set"))
     if crowded:
         candidates = candidates.union(_rare_first(sets.join(many, "node", "left_semi"), percent))
-    pairs = candidates.where("a <> b").distinct()
+    pairs = _may_be_similar(stored(candidates.where("a <> b").distinct()), sets, percent)
     side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     links = pairs.join(side("a"), "a").join(side("b"), "b").where(
