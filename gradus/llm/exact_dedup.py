@@ -59,12 +59,14 @@ def exact_dedup(
         keyed = keyed.join(broadcast_if_small(large), "hash", "left").withColumn(
             "run", F.when(F.col("runs").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("id"), F.col("runs"))).cast("long")
         )
-    else:
-        keyed = keyed.withColumn("run", F.lit(0).cast("long"))
-    ranged = keyed.select("id", "text", "head", "hash", "run").repartitionByRange("head", "hash", "run")
-    ranged = ranged.withColumn("norm", ascii_lower(F.col("text"))).drop("text")
+    # Without large groups there is no salt: a constant would be folded out of the window's keys but not out of the
+    # partitioning, and the whole texts be shuffled again.
+    keys = ["head", "hash", "run"] if any_large else ["head", "hash"]
+    ranged = keyed.repartitionByRange(*keys).withColumn("norm", ascii_lower(F.col("text"))).drop("text")
+    if not any_large:
+        ranged = ranged.withColumn("run", F.lit(0).cast("long"))
     order = F.asc("id") if keep == "min" else F.desc("id")
-    run = W.partitionBy("head", "hash", "run", "norm").orderBy(order)
+    run = W.partitionBy(*keys, "norm").orderBy(order)
     every = run.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     runs = ranged.select(
         "id",
