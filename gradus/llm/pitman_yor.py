@@ -1,15 +1,18 @@
 """Language-model scores from a hierarchical Pitman-Yor model, whose seating is sampled by Gibbs sweeps.
 
-The restaurant of words takes its base from restaurants of byte contexts: each of its tables spells its word as
-customers of the contexts of three bytes, whose tables are customers of the contexts of two, one and no byte, and
-last of the uniform distribution. So contexts share their parents, and unseen words have the probability of their
-spelling. Customers of one kind are reseated together, given all other seating as of the sweep before; each sweep
-reseats every word of the corpus. Predictive probabilities are averaged over the sweeps after the first.
+Each token sits in the restaurant of the token before it (the first one in that of the end token). The tables of these
+restaurants are the customers of the restaurant of words, which takes its base from restaurants of byte contexts: each
+of its tables spells its word as customers of the contexts of three bytes, whose tables are customers of the contexts
+of two, one and no byte, and last of the uniform distribution. So contexts share their parents, and unseen words have
+the probability of their spelling. Customers of one kind are reseated together, given all other seating as of the sweep
+before; each sweep reseats every pair of tokens and every word of the corpus. Predictive probabilities are averaged
+over the sweeps after the first.
 
 Counts cover all training documents and grow with them, so they stay distributed: documents are coded by the
-vocabulary of their block (a bounded run of one task's documents), words are counted and scored by word, and their
-scores go back to the blocks. Only the byte restaurants reach the driver; their contexts are bounded, and their size
-is checked.
+vocabulary of their block (a bounded run of one task's documents), words and pairs are counted and seated by
+themselves, and what they weigh goes back to the blocks. A pair that occurs once always has one table, so it only
+counts for its two words; and of those pairs a block knows the weight itself. Pairs know their words by 64-bit hashes.
+Only the byte restaurants reach the driver; their contexts are bounded, and their size is checked.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from .common import stored_table, unstored
 
 #: Tokens after which a task begins a new block.
 BLOCK_TOKENS = 4_000_000
+#: Rows of a batch of pairs.
+PAIRS = 100_000
 #: Restaurants by bytes of context, and kinds of customers that the driver takes before it lowers that.
 CONTEXT, KINDS = 3, 3_000_000
 STRENGTH = 1.0
@@ -115,9 +120,10 @@ class Spelling:
         return p
 
     def words(self, words: pa.Array) -> np.ndarray:
+        """Logarithms, since long words have less than the least double."""
         kinds, owner = spelled(words)
         own, at = np.unique(kinds, return_inverse=True)
-        return np.exp(np.bincount(owner, np.log(self.probability(own))[at], len(words)))
+        return np.bincount(owner, np.log(self.probability(own))[at], len(words))
 
 
 def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,8 +158,14 @@ class _Numbers(dict):
         return number
 
 
+def _after(ids: np.ndarray) -> np.ndarray:
+    """Of a document's tokens the pairs with the token before; before the first is the end token, the last one."""
+    return np.roll(ids, 1).astype(np.int64) << 32 | ids
+
+
 def _coded(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
-    """Documents as numbers in their block's vocabulary (word null) and that vocabulary with its training counts."""
+    """Documents as numbers in their block's vocabulary (`count`: 1 if it trains), that vocabulary (word) and the
+    block's pairs of tokens (pair), both with their training counts."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
@@ -168,68 +180,149 @@ def _coded(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFr
         .add("word", T.BinaryType())
         .add("number", T.IntegerType())
         .add("count", T.LongType())
+        .add("hash", T.LongType())
+        .add("before", T.LongType())
+        .add("pair", T.LongType())
     )
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 24
-        numbers, trained, tokens, block = _Numbers(), [], 0, task
+        numbers, coded, tokens, block = _Numbers(), ([], []), 0, task
 
-        def vocabulary() -> pa.RecordBatch:
+        def rows_of(n: int, **own: pa.Array) -> pa.RecordBatch:
+            kinds = [pa.int64(), ids_type, pa.list_(pa.int32()), pa.binary(), pa.int32(), *[pa.int64()] * 4]
+            return pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(n, k) for c, k in zip(schema.names, kinds, strict=True)], names=schema.names)
+
+        def vocabulary() -> Iterator[pa.RecordBatch]:
             n = len(numbers)
-            counts = np.bincount(np.concatenate([np.empty(0, np.int32), *trained]), minlength=n)
-            columns = [
-                pa.array(np.full(n, block)), pa.nulls(n, ids_type), pa.nulls(n, pa.list_(pa.int32())),
-                pa.array(list(numbers), pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(counts.astype(np.int64)),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+            counts = np.bincount(np.concatenate([np.empty(0, np.int32), *coded[1]]), minlength=n)
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, n).view(np.int64)
+            yield rows_of(n, block=pa.array(np.full(n, block)), word=pa.array(list(numbers), pa.binary()), number=pa.array(np.arange(n, dtype=np.int32)), count=pa.array(counts.astype(np.int64)), hash=pa.array(hashes))
+            pairs = [np.concatenate([np.empty(0, np.int64), *map(_after, x)]) for x in coded]
+            own, at = np.unique(np.concatenate(pairs), return_inverse=True)
+            counts = np.bincount(at[len(pairs[0]) :], minlength=len(own)).astype(np.int64)
+            for k in range(0, len(own), PAIRS):
+                some, count = own[k : k + PAIRS], counts[k : k + PAIRS]
+                yield rows_of(len(some), block=pa.array(np.full(len(some), block)), count=pa.array(count), hash=pa.array(hashes[some & 0xFFFFFFFF]), before=pa.array(hashes[some >> 32]), pair=pa.array(some))
 
         ids_type = None
         for batch in batches:
             ids_type = batch.column(0).type
-            start, found, where = 0, [], []
+            found, where = [], []
             for text, learns in zip(batch.column(1), batch.column(2), strict=True):
                 words = text.as_py().lower().split()
                 words.append(b"")
                 own = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
                 found.append(own)
                 where.append(block)
-                if learns.as_py():
-                    trained.append(own)
+                coded[learns.as_py()].append(own)
                 tokens += len(own)
                 if tokens >= BLOCK_TOKENS:
-                    yield vocabulary()
-                    numbers, trained, tokens, block = _Numbers(), [], 0, block + 1
-            n = len(found)
+                    yield from vocabulary()
+                    numbers, coded, tokens, block = _Numbers(), ([], []), 0, block + 1
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            columns = [
-                pa.array(where, pa.int64()), batch.column(0), pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int32), *found])),
-                pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            ids = pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int32), *found]))
+            yield rows_of(len(found), block=pa.array(where, pa.int64()), doc_id=batch.column(0), ids=ids, count=batch.column(2).cast(pa.int64()))
         if numbers:
-            yield vocabulary()
+            yield from vocabulary()
 
     return stored_table(rows.mapInArrow(code, schema))
 
 
-def _sweep(words: DataFrame, spelling: Spelling, d: float, tables: int, n: int, sweep: int, averaged: bool, last: bool) -> DataFrame:
-    """Add each word's probability under the seating so far (if `averaged`), then reseat it (unless `last`)."""
+def _counted(pairs: DataFrame) -> DataFrame:
+    """Of pairs that blocks must hear of: block, pair, before, hash, count over all blocks, and `lead` in one row of
+    each that occurs again. Of the pairs that occur once: `ones`, how many come after (before) or end in (hash) a word."""
+    schema = "block long, pair long, before long, hash long, count long, lead boolean, ones long"
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, size = ([], []), 0
+
+        def counted(block, pair, before, word, own):
+            nonlocal size
+            first = np.ones(len(pair), bool)
+            first[1:] = (before[1:] != before[:-1]) | (word[1:] != word[:-1])
+            count = np.add.reduceat(own, np.flatnonzero(first))
+            for k, x in enumerate((before, word)):
+                once[k].append(x[first][count == 1])
+            size += int((count == 1).sum())
+            count = np.repeat(count, np.diff(np.flatnonzero(np.append(first, True))))
+            heard = (count > 1) | (count > own)
+            table = [x[heard] for x in (block, pair, before, word, count, first & (count > 1))]
+            return pa.RecordBatch.from_arrays([*map(pa.array, table), pa.nulls(int(heard.sum()), pa.int64())], names=names)
+
+        def ones() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            for k in range(2):
+                own, n = np.unique(np.concatenate([np.empty(0, np.int64), *once[k]]), return_counts=True)
+                none = pa.nulls(len(own), pa.int64())
+                keys = [pa.array(own), none][:: 1 - 2 * k]
+                yield pa.RecordBatch.from_arrays([none, none, *keys, none, pa.nulls(len(own), pa.bool_()), pa.array(n)], names=names)
+                once[k].clear()
+            size = 0
+
+        names = ["block", "pair", "before", "hash", "count", "lead", "ones"]
+        rest = [np.empty(0, np.int64)] * 5
+        for batch in batches:
+            rest = [np.concatenate([x, y.to_numpy(zero_copy_only=False)]) for x, y in zip(rest, batch.columns, strict=True)]
+            if not len(rest[0]):
+                continue
+            last = (rest[2] == rest[2][-1]) & (rest[3] == rest[3][-1])  # may go on in the next batch
+            if not last.all():
+                yield counted(*[x[~last] for x in rest])
+                rest = [x[last] for x in rest]
+            if size > BLOCK_TOKENS:
+                yield from ones()
+        if len(rest[0]):
+            yield counted(*rest)
+        yield from ones()
+
+    return stored_table(pairs.repartition("before", "hash").sortWithinPartitions("before", "hash").mapInArrow(whole, schema))
+
+
+def _links(pairs: DataFrame, n: str) -> DataFrame:
+    """By the hash of a word: `n` summed over the pairs after it (`after`) and over those that end in it (`within`)."""
+    sides = F.array(F.struct(F.col("before").alias("hash"), F.col(n).alias("after"), F.lit(0).cast("long").alias("within")), F.struct("hash", F.lit(0).cast("long").alias("after"), F.col(n).alias("within")))
+    each = pairs.select(F.explode(sides).alias("x")).select("x.*").where("hash IS NOT NULL")
+    return each.groupBy("hash").agg(F.sum("after").alias("after"), F.sum("within").alias("within"))
+
+
+def _rng(sweep: int, *columns: pa.Array) -> np.random.Generator:
+    """The same if the task runs again."""
+    seed = xxhash.xxh64(seed=sweep)
+    for x in columns:
+        seed.update(x.to_numpy(zero_copy_only=False).tobytes())
+    return np.random.default_rng(seed.intdigest())
+
+
+def _weighed(words: DataFrame, spelling: Spelling, d: float, tables: int, n: int) -> DataFrame:
+    """Add each word's base and chance, as logarithms, under the seating so far."""
     shared = words.sparkSession.sparkContext.broadcast(spelling)
+    pull, names = STRENGTH + d * tables, words.columns
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, t = (batch.column(k).to_numpy() for k in ("customers", "tables"))
+            base = shared.value.words(batch.column("word"))
+            sits = c - d * t
+            with np.errstate(divide="ignore"):
+                chance = np.where(c > 0, np.log(sits + pull * np.exp(base)), np.log(pull) + base) - np.log(STRENGTH + n)
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"base": pa.array(base), "chance": pa.array(chance)}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    return words.mapInArrow(weigh, words.schema)
+
+
+def _reseated(rows: DataFrame, keys: list[str], customers: str, d: float, sweep: int) -> DataFrame:
+    """`tables` sampled anew from the customers and from `pull`, which goes."""
+    names = [c for c in rows.columns if c != "pull"]
 
     def reseat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, count, own, sum_ = (batch.column(k) for k in range(4))
-            c, t, p = (x.to_numpy(zero_copy_only=False) for x in (count, own, sum_))
-            base = shared.value.words(word)
-            if averaged:
-                p = p + (c - d * t + (STRENGTH + d * tables) * base) / (STRENGTH + n)
-            if not last:
-                seed = xxhash.xxh64_intdigest(word.buffers()[2] or b"", sweep)  # the same if the task runs again
-                t = seat(c, (STRENGTH + d * tables) * base, d, np.random.default_rng(seed))
-            names = ["word", "count", "tables", "chance", "base"]
-            yield pa.RecordBatch.from_arrays([word, count, pa.array(t), pa.array(p), pa.array(base)], names=names)
+            t = seat(batch.column(customers).to_numpy(), batch.column("pull").to_numpy(), d, _rng(sweep, *map(batch.column, keys)))
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"tables": pa.array(t)}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    return words.mapInArrow(reseat, "word binary, count long, tables long, chance double, base double")
+    return rows.sortWithinPartitions(*keys).mapInArrow(reseat, T.StructType([rows.schema[c] for c in names]))
 
 
 def _spelling(words: DataFrame, sweep: int) -> Spelling:
@@ -258,36 +351,61 @@ def lm_scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_co
     Learns from rows where `train` holds. Tokens are words (runs without ASCII white space, A-Z lower-cased) and one
     end; a null or empty text has the end only. n_known counts tokens that occur in training; base_score is the
     add-one unigram log10 probability with one class for unknown tokens, and `score` the model's over the same
-    outcomes: the class has what the spellings of the known words leave of the base. `open_score` spells unknown words
-    out instead. Without training rows every byte has the same chance. Null and repeated identifiers are given back as they are. An empty table gives an
+    outcomes, each after the token before it: the class has what the spellings of the known words leave of the base.
+    `open_score` spells unknown words out instead. Without training rows every byte has the same chance. Null and repeated identifiers are given back as they are. An empty table gives an
     empty result; other columns are ignored.
     """
     coded = _coded(docs, train, id_col, text_col)
-    vocabulary = coded.where("word IS NOT NULL").select("block", "number", "word", "count")
-    words = stored_table(
-        vocabulary.groupBy("word").agg(F.sum("count").alias("count")).select(
-            "word", "count", F.least("count", F.lit(1)).alias("tables"), F.lit(0.0).alias("chance")
-        )
-    )
-    n, distinct, ones, twos = words.agg(
-        F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0), F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)
-    ).first()
-    d, unknown = discount(ones, twos), 0.0
+    vocabulary = coded.where("word IS NOT NULL").select("block", "number", "word", "hash", "count")
+    counted = _counted(coded.where("pair IS NOT NULL").select("block", "pair", "before", "hash", "count"))
+    ones = stored_table(_links(counted.where("ones IS NOT NULL"), "ones").withColumnsRenamed({"after": "one_after", "within": "one_within"}))
+    zero = F.lit(0).cast("long")
+    repeated = stored_table(counted.where("lead").select("before", "hash", "count", F.lit(1).cast("long").alias("tables"), zero.alias("seated")))
+    once = ones.agg(F.coalesce(F.sum("one_after"), zero)).first()[0]
+    pair_d = discount(once, repeated.where("count = 2").count())
+
+    def linked(words: DataFrame) -> DataFrame:
+        """Words with the tables of the pairs that end in them as customers, and with those after them as `after`."""
+        found = words.join(_links(repeated, "tables"), "hash", "left")
+        of = lambda side: (F.coalesce(side, zero) + F.coalesce(f"one_{side}", zero)).alias("customers" if side == "within" else side)
+        return found.select(*words.columns, of("within"), of("after"))
+
+    words = vocabulary.groupBy("word", "hash").agg(F.sum("count").alias("count")).join(ones, "hash", "left")
+    null, none = F.lit(0.0), F.array().cast("array<double>")
+    words = stored_table(linked(words).select("*", F.least("customers", F.lit(1)).alias("tables"), null.alias("base"), null.alias("chance"), none.alias("chances"), none.alias("backs")))
+    n, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0)).first()
+    unknown = []
     for sweep in range(sweeps + 1):
-        tables = words.agg(F.coalesce(F.sum("tables"), F.lit(0))).first()[0]
-        spelling, before = _spelling(words, sweep), words
-        words = stored_table(_sweep(before, spelling, d, tables, n, sweep, sweep > 0, sweep == sweeps))
+        eaters, tables, *few = words.agg(
+            F.coalesce(F.sum("customers"), F.lit(0)), F.coalesce(F.sum("tables"), F.lit(0)), F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2)
+        ).first()
+        d = discount(*few)
+        before, pull = words, STRENGTH + d * tables
+        back = (STRENGTH + pair_d * F.col("after")) / (STRENGTH + F.col("count"))
+        words = _weighed(before, _spelling(before, sweep), d, tables, eaters)
+        if sweep:
+            words = words.withColumns({"chances": F.array_append("chances", F.col("chance")), "backs": F.array_append("backs", F.log(back))})
+        words = stored_table(words)
         unstored(before)
         if sweep:  # what the known words' spellings leave
-            rest = 1 - words.agg(F.coalesce(F.sum(F.when(F.col("count") > 0, F.col("base"))), F.lit(0.0))).first()[0]
-            unknown += (STRENGTH + d * tables) * max(rest, 1e-300) / (STRENGTH + n) / sweeps
-    chances = words.select(
-        "word",
-        F.col("count").alias("total"),
-        F.log10(F.when(F.col("count") > 0, F.col("chance") / sweeps).otherwise(F.lit(unknown))).alias("chance"),
-        F.log10(F.col("chance") / sweeps).alias("open"),
-    )
-    back = vocabulary.select("block", "number", "word").join(chances, "word").select("block", "number", "total", "chance", "open")
+            rest = 1 - words.agg(F.coalesce(F.sum(F.when(F.col("count") > 0, F.exp("base"))), F.lit(0.0))).first()[0]
+            unknown.append(np.log(pull * max(rest, 1e-300) / (STRENGTH + eaters)))
+            repeated = repeated.withColumn("seated", F.col("seated") + F.col("tables"))
+        if sweep == sweeps:
+            break
+        drawn = repeated.join(words.select("hash", "chance"), "hash").join(words.select(F.col("hash").alias("before"), "after"), "before")
+        drawn = drawn.select(*repeated.columns, ((STRENGTH + pair_d * F.col("after")) * F.exp("chance")).alias("pull"))
+        repeated = stored_table(_reseated(drawn, ["before", "hash"], "count", pair_d, sweep))
+        before = words
+        seated = linked(before.drop("customers", "after")).withColumn("pull", pull * F.exp("base"))
+        words = stored_table(_reseated(seated.select(*before.columns, "pull"), ["hash"], "customers", d, sweep))
+        unstored(before)
+    each = words.select("word", F.col("count").alias("total"), "chances", "backs")
+    own = vocabulary.select("block", "number", "word").join(each, "word")
+    sat = F.col("count") - pair_d * F.coalesce(F.col("seated") / sweeps, F.lit(1.0))
+    heard = counted.where("pair IS NOT NULL").select("block", "pair", "before", "hash", "count")
+    heard = heard.join(repeated.select("before", "hash", "seated"), ["before", "hash"], "left").select("block", "pair", sat.alias("sat"))
+    back = own.select("block", F.col("number").cast("long").alias("pair"), "total", "chances", "backs", F.lit(None).cast("double").alias("sat")).unionByName(heard, allowMissingColumns=True)
     kind = coded.schema["doc_id"].dataType
     schema = (
         T.StructType().add("doc_id", kind).add("n_tokens", T.LongType()).add("n_known", T.LongType())
@@ -295,17 +413,27 @@ def lm_scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_co
     )
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        number = known["number"].to_numpy()
-        total, chance, spelt = (known[x].to_numpy()[np.argsort(number)] for x in ("total", "chance", "open"))
+        vocab, heard = known.filter(pc.is_valid(known["total"])).sort_by("pair"), known.filter(pc.is_valid(known["sat"]))
+        total = vocab["total"].to_numpy()
+        spelt, back = (vocab[x].combine_chunks().flatten().to_numpy().reshape(-1, sweeps) for x in ("chances", "backs"))
+        chance = np.where(total[:, None] > 0, spelt, np.array(unknown))
         base = np.log10((total + 1) / (n + distinct + 1))
         ids = texts["ids"].combine_chunks()
         size = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
         flat, owner = ids.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
-        sums = [np.bincount(owner, x[flat], len(size)) for x in (total > 0, base, chance, spelt)]
+        pairs, at = np.unique(np.concatenate([_after(x) for x in np.split(flat, np.cumsum(size)[:-1])]), return_inverse=True)
+        # A pair that only this block trains on, once, isn't sent to it.
+        sat = np.where(np.bincount(at, np.repeat(texts["count"].to_numpy(), size), len(pairs)) == 1, 1 - pair_d, 0.0)
+        sat[np.searchsorted(pairs, heard["pair"].to_numpy())] = heard["sat"].to_numpy()
+        u, w = pairs >> 32, pairs & 0xFFFFFFFF
+        with np.errstate(divide="ignore"):
+            sat = np.log(sat / (STRENGTH + total[u]))
+        given = [np.logaddexp(sat, np.logaddexp.reduce(back[u] + x[w], axis=1) - np.log(sweeps))[at] / np.log(10) for x in (chance, spelt)]
+        sums = [np.bincount(owner, x, len(size)) for x in ((total > 0)[flat], base[flat], *given)]
         return pa.table(
             [texts["doc_id"], pa.array(size, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(size), n)), *map(pa.array, sums[1:])],
             names=schema.names,
         )
 
-    texts = coded.where("word IS NULL").select(F.col("block").alias("of"), "doc_id", "ids")
+    texts = coded.where("ids IS NOT NULL").select(F.col("block").alias("of"), "doc_id", "ids", "count")
     return texts.groupBy("of").cogroup(back.groupBy("block")).applyInArrow(score, schema)

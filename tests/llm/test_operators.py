@@ -333,6 +333,20 @@ def test_lm_is_a_distribution(table, spark):
     assert rows[99].n_known == 2 and rows[99].score > rows[99].base_score
 
 
+def test_lm_conditions_on_the_token_before(table, monkeypatch):
+    from gradus.llm import pitman_yor
+
+    fluent, shuffled = "the cat sat on the mat", "mat the on cat the sat"
+    docs = table([*[(i, fluent + f" w{i}") for i in range(20)], (97, fluent), (98, shuffled), (99, fluent + " unseen")])
+    scores = lambda: {r.doc_id: r for r in pitman_yor.lm_scores(docs, F.col("doc_id") < 50).collect()}
+    rows = scores()
+    assert rows[97].base_score == pytest.approx(rows[98].base_score) and rows[97].score > rows[98].score + 3
+    assert rows[99].open_score <= rows[99].score < rows[97].score
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", 20)  # the blocks are no part of the model
+    again = scores()
+    assert all(again[i].score == pytest.approx(rows[i].score, abs=0.5) for i in rows)
+
+
 def test_pipeline(spark, tmp_path, table):
     import corpus_pipeline
 
