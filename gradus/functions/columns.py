@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from . import answers
 
 DOMAINS = (
-    "classical_mechanics", "quantum_mechanics", "thermodynamics", "electromagnetism", "optics", "relativity", "statistical_mechanics",
-    "solid_state_physics", "nuclear_physics", "particle_physics", "astrophysics", "acoustics", "fluid_mechanics", "other",
+    "solid_state_physics", "relativity", "quantum_mechanics", "classical_electromagnetism", "electrodynamics", "thermodynamics",
+    "theoretical_mechanics", "atomic_physics", "statistical_mechanics", "geometrical_optics", "wave_optics", "semiconductor_physics",
+    "classical_mechanics", "high_energy_theory", "cosmology", "fundamental_physics", "mechanics", "electricity", "optics",
+    "modern_physics", "advanced_physics", "other",
 )
 _PLAIN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 

@@ -5,18 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import strip
+
+#: The order counts: the first name that is part of an unknown one, or has it as a part, is taken.
 LANGUAGES = {
-    "english": "en", "german": "de", "deutsch": "de", "french": "fr", "français": "fr", "spanish": "es", "español": "es",
-    "chinese": "zh", "japanese": "ja", "korean": "ko", "russian": "ru", "italian": "it", "portuguese": "pt", "arabic": "ar", "hindi": "hi",
+    "english": "en", "en": "en", "eng": "en", "en-us": "en", "en-gb": "en", "chinese": "zh", "zh": "zh", "zh-cn": "zh",
+    "zh-tw": "zh", "zh-hans": "zh", "zh-hant": "zh", "mandarin": "zh", "cantonese": "zh", "spanish": "es", "es": "es",
+    "esp": "es", "es-es": "es", "es-mx": "es", "french": "fr", "fr": "fr", "fra": "fr", "fr-fr": "fr", "german": "de",
+    "de": "de", "deu": "de", "de-de": "de", "japanese": "ja", "ja": "ja", "jpn": "ja", "ja-jp": "ja", "korean": "ko",
+    "ko": "ko", "kor": "ko", "ko-kr": "ko", "russian": "ru", "ru": "ru", "rus": "ru", "ru-ru": "ru", "arabic": "ar",
+    "ar": "ar", "ara": "ar", "ar-sa": "ar", "portuguese": "pt", "pt": "pt", "por": "pt", "pt-pt": "pt", "pt-br": "pt",
+    "italian": "it", "it": "it", "ita": "it", "it-it": "it", "dutch": "nl", "nl": "nl", "nld": "nl", "nl-nl": "nl",
+    "hindi": "hi", "hi": "hi", "hin": "hi", "hi-in": "hi", "bengali": "bn", "bn": "bn", "ben": "bn", "bn-bd": "bn",
+    "bn-in": "bn",
 }
 
 
 def normalise_language(name: Column) -> Column:
-    """A code or name to a two-letter code: known names, then a known code as the first two letters, else en."""
-    clean = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    """A code or name to a two-letter code: known names, then the first known name that holds this one or is held by
+    it, then a known code as the first two letters, else en."""
+    clean = F.lower(strip(F.coalesce(name, F.lit(""))))
     table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    known = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("code")) for k, v in LANGUAGES.items()])
+    partial = F.get(F.filter(known, lambda x: F.contains(clean, x["name"]) | F.contains(x["name"], clean)), F.lit(0))["code"]
     prefix = F.substring(clean, 1, 2)
-    return F.coalesce(F.element_at(table, clean), F.when(prefix.isin(*set(LANGUAGES.values())), prefix), F.lit("en"))
+    return F.coalesce(F.element_at(table, clean), partial, F.when(prefix.isin(*set(LANGUAGES.values())), prefix), F.lit("en"))
 
 
 def extract_options(question: Column) -> Column:
