@@ -49,7 +49,7 @@ def slice_positions(df: DataFrame, step: slice, n: int, pos: str = "pos") -> Dat
     return df.where(at.between(min(found), max(found)) & ((at - found[0]) % abs(found.step) == 0))
 
 
-def with_position(df: DataFrame, order: str, pos: str = "pos") -> DataFrame:
+def with_position(df: DataFrame, order: str | Sequence[str], pos: str = "pos") -> DataFrame:
     """Number the rows by a sort key: places inside the sorted partitions plus the partitions' counts before them."""
     placed = df.orderBy(order).withColumns({"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()})
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row for each partition
@@ -84,6 +84,12 @@ def folds(df: DataFrame, k: int, n: int, pos: str = "pos") -> DataFrame:
     return df.withColumn("fold", F.least(F.floor(F.col(pos) / max(1, n // k)), F.lit(k - 1)).cast("long"))
 
 
+def cross_validation(df: DataFrame, k: int, key: str, seed: int = 0) -> DataFrame:
+    """Adds `fold`: the counted rows, shuffled by the sample key, in k folds."""
+    placed = with_position(df.withColumn("_key", sample_key(key, seed)), ["_key", key], "_pos")
+    return folds(placed, k, df.count(), "_pos").drop("_key", "_pos")
+
+
 def statistics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts in total and by each key in one pass: kind, value, n."""
     listed = F.array(F.struct(F.lit("total").alias("kind"), F.lit("").alias("value")), *[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys])

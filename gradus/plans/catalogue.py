@@ -112,7 +112,7 @@ def sample_balanced(spark, d):
 
 @query("SELECT doc_id, CAST(least(doc_id // 40, 4) AS BIGINT) AS fold FROM documents")
 def cv_splits(spark, d):
-    return R.folds(_t(spark, d, "documents").select("doc_id"), 5, 200, "doc_id")
+    return R.cross_validation(_t(spark, d, "documents").select("doc_id"), 5, "doc_id")
 
 
 @query("""SELECT 'total' AS kind, '' AS value, count(*) AS n FROM documents UNION ALL

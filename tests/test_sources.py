@@ -51,6 +51,20 @@ def test_positions_and_folds(spark):
     assert [r.k for r in R.slice_positions(df, slice(None, None, -50), 103).orderBy("k").collect()] == [2, 52, 102]
 
 
+def test_cross_validation(spark, tmp_path):
+    import hashlib
+    from collections import Counter
+
+    ids = [*range(-5, 900, 7), 10**12]  # with gaps, and not from 0
+    got = {r.k: r.fold for r in R.cross_validation(spark.createDataFrame([(i,) for i in ids], "k long"), 5, "k", 3).collect()}
+    order = sorted(ids, key=lambda i: hashlib.md5(f"3|{i}".encode()).hexdigest())
+    assert got == {i: min(at // (len(ids) // 5), 4) for at, i in enumerate(order)}
+    spark.range(50, 1053).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    from gradus.plans.catalogue import cv_splits
+
+    assert Counter(r.fold for r in cv_splits(spark, str(tmp_path)).collect()) == {0: 200, 1: 200, 2: 200, 3: 200, 4: 203}
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([("1", "x = 5"), ("2", "6")], "problem_id string, prediction string").write.parquet(f"{tmp_path}/in")
     problems = spark.createDataFrame([("1", "5"), ("2", "7")], "problem_id string, answer string")
