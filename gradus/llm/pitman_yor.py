@@ -12,7 +12,8 @@ Counts cover all training documents and grow with them, so they stay distributed
 vocabulary of their block (a bounded run of one task's documents), words and pairs are counted and seated by
 themselves, and what they weigh goes back to the blocks. A pair that occurs once always has one table, so it only
 counts for its two words; and of those pairs a block knows the weight itself. Pairs know their words by 64-bit hashes.
-Only the byte restaurants reach the driver; their contexts are bounded, and their size is checked.
+Only the byte restaurants reach the driver, all of them: their contexts have three bytes whatever the input, and if
+they don't fit there, the run fails.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from .common import stored_table, unstored
 BLOCK_TOKENS = 4_000_000
 #: Rows of a batch of pairs.
 PAIRS = 100_000
-#: Restaurants by bytes of context, and kinds of customers that the driver takes before it lowers that.
-CONTEXT, KINDS = 3, 3_000_000
+#: Bytes of context.
+CONTEXT = 3
 STRENGTH = 1.0
 EXACT = 64
 
@@ -64,9 +65,6 @@ class Spelling:
 
     def __init__(self, kinds: np.ndarray, customers: np.ndarray, rng: np.random.Generator, sweeps: int = 3):
         self.top = CONTEXT + 1
-        while self.top > 1 and len(kinds) > KINDS:
-            self.top -= 1
-            kinds, customers = self._merged(kinds & ((1 << 8 * self.top) - 1), customers)
         self.kinds, self.customers, self.tables = [None] * (self.top + 1), [None] * (self.top + 1), [None] * (self.top + 1)
         self.discounts = [0.5] * (self.top + 1)
         at = (kinds, customers)
@@ -337,10 +335,6 @@ def _spelling(words: DataFrame, sweep: int) -> Spelling:
 
     found = words.where("tables > 0").select("word", "tables").mapInArrow(kinds, "kind long, customers long")
     counts = stored_table(found.groupBy("kind").agg(F.sum("customers").alias("customers")))
-    context = CONTEXT
-    while context and counts.count() > KINDS:
-        context -= 1
-        counts = counts.groupBy((F.col("kind") % (1 << 8 * (context + 1))).alias("kind")).agg(F.sum("customers").alias("customers"))
     table = counts.orderBy("kind").toArrow()
     return Spelling(table["kind"].to_numpy(), table["customers"].to_numpy(), np.random.default_rng(sweep))
 

@@ -347,6 +347,21 @@ def test_lm_conditions_on_the_token_before(table, monkeypatch):
     assert all(again[i].score == pytest.approx(rows[i].score, abs=0.5) for i in rows)
 
 
+def test_lm_context_does_not_depend_on_size(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from gradus.llm import pitman_yor
+
+    monkeypatch.setattr(pitman_yor, "KINDS", 10, raising=False)  # once a limit beyond which contexts were shorter
+    words = [b"the", b"then", b"other", b"brother", b"zebra"]
+    model = pitman_yor._spelling(spark.createDataFrame([(bytearray(w), 2) for w in words], "word binary, tables long"), 1)
+    kinds, _ = pitman_yor.spelled(pa.array(words, pa.binary()))
+    assert model.top == 4 and list(model.kinds[4]) == list(np.unique(kinds)) and model.customers[4].sum() == 2 * len(kinds)
+    many = np.arange(3_000_001, dtype=np.int64) << 8
+    assert pitman_yor.Spelling(many, np.ones(len(many), np.int64), np.random.default_rng(1), sweeps=0).top == 4
+
+
 def test_pipeline(spark, tmp_path, table):
     import corpus_pipeline
 
