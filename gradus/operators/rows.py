@@ -1,4 +1,4 @@
-"""Row operators of an ordered problem table: filters, positions, samples, folds, statistics, validation.
+"""Row operators of an ordered problem table: filters, positions, samples, folds, statistics, evaluation.
 
 Order is a column, `pos`, never the physical order. Samples take the least md5 keys, so they are reproducible.
 """
