@@ -51,6 +51,14 @@ def test_positions_and_folds(spark):
     assert [r.k for r in R.slice_positions(df, slice(None, None, -50), 103).orderBy("k").collect()] == [2, 52, 102]
 
 
+def test_half_way_numbers(spark, tmp_path):
+    from gradus.plans.catalogue import compare_number_rounded
+
+    rows = [(q, 1, float(q), 5) for q in range(1, 9)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r.l_orderkey: r.same for r in compare_number_rounded(spark, str(tmp_path)).collect()} == {q: q % 2 == 0 for q in range(1, 9)}
+
+
 def test_cross_validation(spark, tmp_path):
     import hashlib
     from collections import Counter
