@@ -4,17 +4,16 @@ import os
 
 import duckdb
 import pytest
-from conftest import DATA
 
 from gradus.plans.catalogue import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
-def duck():
+def duck(data):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for name in os.listdir(DATA):
-        con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM read_parquet('{DATA}/{name}')")
+    for name in os.listdir(data):
+        con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM read_parquet('{data}/{name}')")
     return con
 
 
@@ -24,8 +23,8 @@ def plain(rows):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, duck, name):
-    got = QUERIES[name](spark, DATA)
+def test_query(spark, duck, data, name):
+    got = QUERIES[name](spark, data)
     columns = sorted(got.columns)
     want = duck.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall()
     assert plain(got.select(*columns).collect()) == plain(want)
