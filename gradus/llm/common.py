@@ -5,6 +5,8 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,14 +53,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> SparkSession:
-    """Use the shared folder of the cluster; only where none is named (tests), a local one."""
+    """Use the shared folder of the cluster. Only a local session, which has one machine, may do without: it gets a
+    temporary folder."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gradus-"))
     return spark
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Of queries that run inside, the shuffle files go when each has ended, not when the driver collects garbage.
+    Only for queries whose results are written, since their plans aren't read again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which survives lost executors."""
     with_checkpoint_dir(df.sparkSession)
@@ -70,24 +88,44 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def stored_table(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back; unlike a checkpoint its columns can be pruned.
-
-    The folder goes when the session's JVM ends, or with unstored().
-    """
-    spark = with_checkpoint_dir(df.sparkSession)
+def _new_folder(spark: SparkSession) -> str:
+    """A folder in the shared one that goes when the session's JVM ends, or with unstored()."""
+    with_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/gradus-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def stored_table(df: DataFrame, codec: str = "snappy") -> DataFrame:
+    """Write a table to the shared folder and read it back; unlike a checkpoint its columns can be pruned."""
+    spark = df.sparkSession
+    path = _new_folder(spark)
+    with shuffles_removed(spark):
+        df.write.option("compression", codec).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    table._stored_at = path
+    table._stored_at, table._stored_as = path, None
+    return table
+
+
+def bucketed_table(df: DataFrame, by: str) -> DataFrame:
+    """As stored_table, for few but large rows: bucketed by a column, so that a cogroup by it doesn't move this side.
+    Every row fills a row group of its own."""
+    spark, name = df.sparkSession, f"gradus_{uuid.uuid4().hex}"
+    path = _new_folder(spark)
+    how = {"path": path, "compression": "zstd", "parquet.block.size": 1 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    with shuffles_removed(spark):
+        df.write.options(**how).bucketBy(shuffle_partitions(spark), by).saveAsTable(name)
+    table = spark.table(name)
+    table._stored_at, table._stored_as = path, name
     return table
 
 
 def unstored(table: DataFrame) -> None:
-    """Delete what stored_table() wrote; nothing may read it any more."""
+    """Delete what stored_table() or bucketed_table() wrote; nothing may read it any more."""
     spark = table.sparkSession
+    if table._stored_as:
+        spark.sql(f"DROP TABLE IF EXISTS {table._stored_as}")
     folder = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

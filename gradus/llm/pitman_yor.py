@@ -2,18 +2,21 @@
 
 Each token sits in the restaurant of the token before it (the first one in that of the end token). The tables of these
 restaurants are the customers of the restaurant of words, which takes its base from restaurants of byte contexts: each
-of its tables spells its word as customers of the contexts of three bytes, whose tables are customers of the contexts
-of two, one and no byte, and last of the uniform distribution. So contexts share their parents, and unseen words have
-the probability of their spelling. Customers of one kind are reseated together, given all other seating as of the sweep
+of its tables spells its word as customers of the contexts of two bytes, whose tables are customers of the contexts of
+one and no byte, and last of the uniform distribution. So contexts share their parents, and unseen words have the
+probability of their spelling. Customers of one kind are reseated together, given all other seating as of the sweep
 before; each sweep reseats every pair of tokens and every word of the corpus. Predictive probabilities are averaged
 over the sweeps after the first.
 
-Counts cover all training documents and grow with them, so they stay distributed: documents are coded by the
-vocabulary of their block (a bounded run of one task's documents), words and pairs are counted and seated by
-themselves, and what they weigh goes back to the blocks. A pair that occurs once always has one table, so it only
-counts for its two words; and of those pairs a block knows the weight itself. Pairs know their words by 64-bit hashes.
-Only the byte restaurants reach the driver, all of them: their contexts have three bytes whatever the input, and if
-they don't fit there, the run fails.
+Counts cover all training documents and grow with them, so they stay distributed. Documents are coded by the sorted
+vocabulary of their block (a bounded run of one task's documents). A block cuts its words and pairs of tokens by the
+range of their hash and sends each range as one packed chunk; a range adds up what all blocks sent and answers in the
+order of the chunk, so that an answer costs a few bits. Seats are drawn by hashes of the pair and the sweep: every
+block that holds a pair draws the same tables for it, so pairs move once, whatever the number of sweeps, and scores
+depend on neither blocks nor partitions. Of a sweep only sums by word move. Blocks stay where they are, bucketed.
+
+Only the byte restaurants reach the driver and are broadcast. A kind is a byte and its two bytes of context, so there
+are at most 2^24 of them, however large the corpus. Words are compared in full, pairs by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,33 +32,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored_table, unstored
+from .common import bucketed_table, shuffle_partitions, stored_table, unstored
 
-#: Tokens after which a task begins a new block.
+#: Tokens after which a task begins a new block; a document is never cut.
 BLOCK_TOKENS = 4_000_000
-#: Rows of a batch of pairs.
-PAIRS = 100_000
 #: Bytes of context.
-CONTEXT = 3
+CONTEXT = 2
 STRENGTH = 1.0
+#: From this customer on, the customers of one kind are seated in groups of a tenth of those before.
 EXACT = 64
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Every bit of the result depends on every bit of x (64 bits, unsigned)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def keyed(keys: np.ndarray, salt: int) -> np.ndarray:
+    return mixed(keys.astype(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+
+
+def uniform(keys: np.ndarray, step: int) -> np.ndarray:
+    return (keyed(keys, step + 1) >> np.uint64(11)) * 2.0**-53
+
+
+def binomial(n: np.ndarray, p: np.ndarray, keys: np.ndarray, step: int) -> np.ndarray:
+    """Drawn by inversion, from the normal distribution where 30 or more are expected."""
+    flip = p > 0.5
+    p = np.clip(np.where(flip, 1 - p, p), 0, 0.5)
+    u, out = uniform(keys, step), np.zeros(len(n), np.int64)
+    few = np.flatnonzero(n * p < 30)
+    m, q, at, k = n[few], p[few], few, 0
+    chance = np.exp(m * np.log1p(-q))
+    below = chance.copy()
+    while len(at):
+        more = (u[at] > below) & (k < m)
+        at, m, q, chance, below = at[more], m[more], q[more], chance[more], below[more]
+        chance = chance * (m - k) / (k + 1) * q / (1 - q)
+        below, k = below + chance, k + 1
+        out[at] = k
+    many = np.flatnonzero(n * p >= 30)
+    angle = uniform(mixed(keys[many].astype(np.uint64)), step)
+    z = np.sqrt(-2 * np.log(np.maximum(u[many], 1e-300))) * np.cos(2 * np.pi * angle)
+    out[many] = np.clip(np.rint(n[many] * p[many] + z * np.sqrt(n[many] * p[many] * (1 - p[many]))), 0, n[many])
+    return np.where(flip, n - out, out)
+
+
 def discount(ones: float, twos: float) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.9)) if ones else 0.5
 
 
-def seat(customers: np.ndarray, pull: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each kind after its customers sat down one by one; `pull` weighs a new table: (strength + discount *
-    all tables) * parent's probability. From the EXACT-th customer on, they come in groups a tenth of those before."""
+def seat(customers: np.ndarray, pull: np.ndarray, d: float, keys: np.ndarray) -> np.ndarray:
+    """Tables of each kind after its customers sat down one by one, drawn by its key; `pull` weighs a new table:
+    (strength + discount * all tables) * parent's probability. From the EXACT-th customer on they come in groups, for
+    which the chance is averaged, so that frequent kinds take steps as the logarithm of their customers."""
     tables = (customers > 0).astype(np.int64)
-    seated, left = 1, np.flatnonzero(customers > 1)
+    seated, step, left = 1, 0, np.flatnonzero(customers > 1)
     while len(left):
         group = 1 if seated < EXACT else seated // 10
-        n = np.minimum(group, customers[left] - seated)
-        chance = pull[left] / (pull[left] + np.maximum(seated - d * tables[left], 1e-9))
-        tables[left] += rng.random(len(left)) < chance if group == 1 else rng.binomial(n, chance)
-        seated += group
+        n, own = np.minimum(group, customers[left] - seated), pull[left]
+        others = np.maximum(seated - d * tables[left], 1e-9)
+        if group == 1:
+            tables[left] += uniform(keys[left], step) < own / (own + others)
+        else:
+            chance = own / (own + others)
+            for _ in range(2):  # the tables that the group itself adds count half
+                rest = own + others - 0.5 - d * n * chance / 2
+                chance = np.minimum(own / n * np.log1p(n / rest), 1)
+            tables[left] += binomial(n, chance, keys[left], step)
+        seated, step = seated + group, step + 1
         left = left[customers[left] > seated]
     return tables
 
@@ -63,7 +110,7 @@ def seat(customers: np.ndarray, pull: np.ndarray, d: float, rng: np.random.Gener
 class Spelling:
     """The byte restaurants: kinds (context and byte) by level, sorted, with their customers and tables."""
 
-    def __init__(self, kinds: np.ndarray, customers: np.ndarray, rng: np.random.Generator, sweeps: int = 3):
+    def __init__(self, kinds: np.ndarray, customers: np.ndarray, seed: int, sweeps: int = 3):
         self.top = CONTEXT + 1
         self.kinds, self.customers, self.tables = [None] * (self.top + 1), [None] * (self.top + 1), [None] * (self.top + 1)
         self.discounts = [0.5] * (self.top + 1)
@@ -72,14 +119,14 @@ class Spelling:
             self.kinds[level], self.customers[level] = at
             self.tables[level] = np.ones(len(at[0]), np.int64)
             at = self._parents(level)
-        for _ in range(sweeps):
+        for sweep in range(sweeps):
             self._totals()
             for level in range(self.top, 0, -1):
                 c = self.customers[level]
                 d = self.discounts[level] = discount((c == 1).sum(), (c == 2).sum())
                 total = self.total[level][1][self._context(level, self.kinds[level])[0]]
                 pull = (STRENGTH + d * total) * self.probability(self.kinds[level] & ((1 << 8 * (level - 1)) - 1), level - 1)
-                self.tables[level] = seat(c, pull, d, rng)
+                self.tables[level] = seat(c, pull, d, keyed(self.kinds[level], (seed * sweeps + sweep) * 8 + level))
                 if level > 1:
                     self.customers[level - 1] = self._parents(level)[1]
             self._totals()
@@ -150,193 +197,334 @@ def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return kinds[inside], np.repeat(np.arange(len(size)), size + 1)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Byte by byte: the first bytes of all values, then the second ones; runs of zeros take no room in a file."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _split(words: bytes) -> list[bytes]:
+    return words.split(b"\n")
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _ranges(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """Where each of the equal ranges of hashes lies in these sorted ones, without empty ranges."""
+    part = (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    found, start = np.unique(part, return_index=True)
+    yield from zip(found.tolist(), map(slice, start, np.append(start[1:], len(hashes))), strict=True)
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
         return number
 
 
-def _after(ids: np.ndarray) -> np.ndarray:
-    """Of a document's tokens the pairs with the token before; before the first is the end token, the last one."""
-    return np.roll(ids, 1).astype(np.int64) << 32 | ids
-
-
 def _coded(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
-    """Documents as numbers in their block's vocabulary (`count`: 1 if it trains), that vocabulary (word) and the
-    block's pairs of tokens (pair), both with their training counts."""
+    """One row for each block: its documents, their tokens as numbers, and its words in the order of their hashes, by
+    which they are numbered, with their training counts."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
         F.coalesce(train, F.lit(False)).alias("train"),
     )
-    kind = rows.schema["doc_id"].dataType
     schema = (
         T.StructType()
         .add("block", T.LongType())
-        .add("doc_id", kind)
-        .add("ids", T.ArrayType(T.IntegerType()))
-        .add("word", T.BinaryType())
-        .add("number", T.IntegerType())
-        .add("count", T.LongType())
-        .add("hash", T.LongType())
-        .add("before", T.LongType())
-        .add("pair", T.LongType())
+        .add("doc_ids", T.ArrayType(rows.schema["doc_id"].dataType))
+        .add("sizes", T.ArrayType(T.IntegerType()))
+        .add("learns", T.ArrayType(T.BooleanType()))
+        .add("ids", T.BinaryType())
+        .add("words", T.BinaryType())
+        .add("counts", T.BinaryType())
     )
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 24
-        numbers, coded, tokens, block = _Numbers(), ([], []), 0, task
-
-        def rows_of(n: int, **own: pa.Array) -> pa.RecordBatch:
-            kinds = [pa.int64(), ids_type, pa.list_(pa.int32()), pa.binary(), pa.int32(), *[pa.int64()] * 4]
-            return pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(n, k) for c, k in zip(schema.names, kinds, strict=True)], names=schema.names)
-
-        def vocabulary() -> Iterator[pa.RecordBatch]:
-            n = len(numbers)
-            counts = np.bincount(np.concatenate([np.empty(0, np.int32), *coded[1]]), minlength=n)
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, n).view(np.int64)
-            yield rows_of(n, block=pa.array(np.full(n, block)), word=pa.array(list(numbers), pa.binary()), number=pa.array(np.arange(n, dtype=np.int32)), count=pa.array(counts.astype(np.int64)), hash=pa.array(hashes))
-            pairs = [np.concatenate([np.empty(0, np.int64), *map(_after, x)]) for x in coded]
-            own, at = np.unique(np.concatenate(pairs), return_inverse=True)
-            counts = np.bincount(at[len(pairs[0]) :], minlength=len(own)).astype(np.int64)
-            for k in range(0, len(own), PAIRS):
-                some, count = own[k : k + PAIRS], counts[k : k + PAIRS]
-                yield rows_of(len(some), block=pa.array(np.full(len(some), block)), count=pa.array(count), hash=pa.array(hashes[some & 0xFFFFFFFF]), before=pa.array(hashes[some >> 32]), pair=pa.array(some))
-
-        ids_type = None
+        block = TaskContext.get().partitionId() << 24
+        numbers, docs, kind = _Numbers(), [], None
+
+        def coded() -> pa.RecordBatch:
+            doc_ids, learns, found = zip(*docs, strict=True)
+            words = list(numbers)
+            hashes = _hashes(words)
+            order = np.argsort(hashes, kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            sizes = np.array([len(x) for x in found], np.int32)
+            ids = rank[np.concatenate(found)]
+            counts = np.bincount(ids[np.repeat(np.array(learns), sizes)], minlength=len(words))
+            row = [
+                pa.array([block], pa.int64()),
+                pa.array([list(doc_ids)], pa.list_(kind)),
+                pa.array([sizes], pa.list_(pa.int32())),
+                pa.array([list(learns)], pa.list_(pa.bool_())),
+                *(pa.array([x], pa.binary()) for x in (pack(ids), b"\n".join([words[k] for k in order]), pack(counts.astype(np.int64)))),
+            ]
+            return pa.RecordBatch.from_arrays(row, names=schema.names)
+
+        tokens = 0
         for batch in batches:
-            ids_type = batch.column(0).type
-            found, where = [], []
-            for text, learns in zip(batch.column(1), batch.column(2), strict=True):
+            kind = batch.column(0).type
+            for doc_id, text, learns in zip(*batch.columns, strict=True):
                 words = text.as_py().lower().split()
                 words.append(b"")
-                own = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
-                found.append(own)
-                where.append(block)
-                coded[learns.as_py()].append(own)
-                tokens += len(own)
+                docs.append((doc_id.as_py(), learns.as_py(), np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))))
+                tokens += len(words)
                 if tokens >= BLOCK_TOKENS:
-                    yield from vocabulary()
-                    numbers, coded, tokens, block = _Numbers(), ([], []), 0, block + 1
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int32), *found]))
-            yield rows_of(len(found), block=pa.array(where, pa.int64()), doc_id=batch.column(0), ids=ids, count=batch.column(2).cast(pa.int64()))
-        if numbers:
-            yield from vocabulary()
-
-    return stored_table(rows.mapInArrow(code, schema))
-
-
-def _counted(pairs: DataFrame) -> DataFrame:
-    """Of pairs that blocks must hear of: block, pair, before, hash, count over all blocks, and `lead` in one row of
-    each that occurs again. Of the pairs that occur once: `ones`, how many come after (before) or end in (hash) a word."""
-    schema = "block long, pair long, before long, hash long, count long, lead boolean, ones long"
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, size = ([], []), 0
-
-        def counted(block, pair, before, word, own):
-            nonlocal size
-            first = np.ones(len(pair), bool)
-            first[1:] = (before[1:] != before[:-1]) | (word[1:] != word[:-1])
-            count = np.add.reduceat(own, np.flatnonzero(first))
-            for k, x in enumerate((before, word)):
-                once[k].append(x[first][count == 1])
-            size += int((count == 1).sum())
-            count = np.repeat(count, np.diff(np.flatnonzero(np.append(first, True))))
-            heard = (count > 1) | (count > own)
-            table = [x[heard] for x in (block, pair, before, word, count, first & (count > 1))]
-            return pa.RecordBatch.from_arrays([*map(pa.array, table), pa.nulls(int(heard.sum()), pa.int64())], names=names)
-
-        def ones() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            for k in range(2):
-                own, n = np.unique(np.concatenate([np.empty(0, np.int64), *once[k]]), return_counts=True)
-                none = pa.nulls(len(own), pa.int64())
-                keys = [pa.array(own), none][:: 1 - 2 * k]
-                yield pa.RecordBatch.from_arrays([none, none, *keys, none, pa.nulls(len(own), pa.bool_()), pa.array(n)], names=names)
-                once[k].clear()
-            size = 0
-
-        names = ["block", "pair", "before", "hash", "count", "lead", "ones"]
-        rest = [np.empty(0, np.int64)] * 5
+                    yield coded()
+                    numbers, docs, tokens, block = _Numbers(), [], 0, block + 1
+        if docs:
+            yield coded()
+
+    return bucketed_table(rows.mapInArrow(code, schema), "block")
+
+
+class Block:
+    """A row of the coded documents, with its distinct pairs of tokens in the order of their hashes."""
+
+    def __init__(self, sizes: np.ndarray, ids: bytes, words: bytes):
+        self.sizes, self.ids = sizes.astype(np.int64), unpack(ids, np.int32)
+        self.words, self.hashes = None, _hashes(_split(words))
+        ends = np.cumsum(self.sizes)
+        before = np.roll(self.ids, 1)
+        before[ends - self.sizes] = self.ids[ends - 1]  # before the first token is the end token, the last one
+        pairs, at = np.unique(before.astype(np.int64) << 32 | self.ids, return_inverse=True)
+        hashes = mixed(self.hashes[pairs >> 32]) + self.hashes[pairs & 0xFFFFFFFF] * np.uint64(0x9E3779B97F4A7C15)
+        hashes = mixed(hashes)
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.pairs, self.at = hashes[order], rank[at]
+        self.before, self.word = (pairs >> 32)[order], (pairs & 0xFFFFFFFF)[order]
+
+    @classmethod
+    def of(cls, table: pa.Table | pa.RecordBatch, row: int = 0) -> Block:
+        return cls(table["sizes"][row].values.to_numpy(), table["ids"][row].as_py(), table["words"][row].as_py())
+
+
+_PARTS = "part long, block long, "
+
+
+def _lexicon(coded: DataFrame, parts: int) -> DataFrame:
+    """By range of the words' hashes: one row with the words and their training counts (no block), and for each block
+    the places of its words among them."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = [np.concatenate([x, y.to_numpy(zero_copy_only=False)]) for x, y in zip(rest, batch.columns, strict=True)]
-            if not len(rest[0]):
-                continue
-            last = (rest[2] == rest[2][-1]) & (rest[3] == rest[3][-1])  # may go on in the next batch
-            if not last.all():
-                yield counted(*[x[~last] for x in rest])
-                rest = [x[last] for x in rest]
-            if size > BLOCK_TOKENS:
-                yield from ones()
-        if len(rest[0]):
-            yield counted(*rest)
-        yield from ones()
-
-    return stored_table(pairs.repartition("before", "hash").sortWithinPartitions("before", "hash").mapInArrow(whole, schema))
-
-
-def _links(pairs: DataFrame, n: str) -> DataFrame:
-    """By the hash of a word: `n` summed over the pairs after it (`after`) and over those that end in it (`within`)."""
-    sides = F.array(F.struct(F.col("before").alias("hash"), F.col(n).alias("after"), F.lit(0).cast("long").alias("within")), F.struct("hash", F.lit(0).cast("long").alias("after"), F.col(n).alias("within")))
-    each = pairs.select(F.explode(sides).alias("x")).select("x.*").where("hash IS NOT NULL")
-    return each.groupBy("hash").agg(F.sum("after").alias("after"), F.sum("within").alias("within"))
-
-
-def _rng(sweep: int, *columns: pa.Array) -> np.random.Generator:
-    """The same if the task runs again."""
-    seed = xxhash.xxh64(seed=sweep)
-    for x in columns:
-        seed.update(x.to_numpy(zero_copy_only=False).tobytes())
-    return np.random.default_rng(seed.intdigest())
-
-
-def _weighed(words: DataFrame, spelling: Spelling, d: float, tables: int, n: int) -> DataFrame:
-    """Add each word's base and chance, as logarithms, under the seating so far."""
-    shared = words.sparkSession.sparkContext.broadcast(spelling)
-    pull, names = STRENGTH + d * tables, words.columns
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, joined, counts in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                words, counts = _split(joined), unpack(counts, np.int64)
+                rows = [(part, block, b"\n".join(words[at]), pack(counts[at])) for part, at in _ranges(_hashes(words), parts)]
+                yield pa.RecordBatch.from_pylist([dict(zip(("part", "block", "words", "counts"), r, strict=True)) for r in rows])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        rows, numbers, each, total = rows.sort_by("block"), _Numbers(), [], []
+        for block, joined, counts in zip(*(rows[c].to_pylist() for c in ("block", "words", "counts")), strict=True):
+            words = _split(joined)
+            each.append((block, np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))))
+            total.append(unpack(counts, np.int64))
+        total = np.bincount(np.concatenate([x for _, x in each]), np.concatenate(total)).astype(np.int64)
+        words = [b"\n".join(numbers), *[None] * len(each)]
+        filled = [pack(total), *[pack(x) for _, x in each]]
+        return pa.table([[rows["part"][0].as_py()] * len(words), [None, *[b for b, _ in each]], words, filled], schema=out)
+
+    out = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("numbers", pa.binary())])
+    cut_ = coded.select("block", "words", "counts").mapInArrow(cut, _PARTS + "words binary, counts binary")
+    return bucketed_table(cut_.groupBy("part").applyInArrow(merge, _PARTS + "words binary, numbers binary"), "part")
+
+
+def _pair_counts(coded: DataFrame, parts: int) -> DataFrame:
+    """For each block and range of the pairs' hashes, twice the pairs' training counts over all blocks, and one more in
+    the block that speaks for the pair; for each range how many pairs occur once and twice (no block)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, t = (batch.column(k).to_numpy() for k in ("customers", "tables"))
-            base = shared.value.words(batch.column("word"))
-            sits = c - d * t
-            with np.errstate(divide="ignore"):
-                chance = np.where(c > 0, np.log(sits + pull * np.exp(base)), np.log(pull) + base) - np.log(STRENGTH + n)
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"base": pa.array(base), "chance": pa.array(chance)}
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+            for row in range(batch.num_rows):
+                own = Block.of(batch, row)
+                learns = np.repeat(batch["learns"][row].values.to_numpy(zero_copy_only=False), own.sizes)
+                counts = np.bincount(own.at[learns], minlength=len(own.pairs))
+                rows = [(part, pack(np.diff(own.pairs[at], prepend=np.uint64(0))), pack(counts[at])) for part, at in _ranges(own.pairs, parts)]
+                block = batch["block"][row].as_py()
+                yield pa.RecordBatch.from_pylist([{"part": p, "block": block, "pairs": h, "counts": c} for p, h, c in rows])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block")
+        pairs = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in rows["pairs"].to_pylist()]
+        counts = np.concatenate([unpack(x, np.int64) for x in rows["counts"].to_pylist()])
+        ends = np.cumsum([len(x) for x in pairs])
+        own, first, at = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
+        total = np.bincount(at, counts).astype(np.int64)
+        heard = total[at] * 2
+        heard[first] += 1
+        blocks = [None, *rows["block"].to_pylist()]
+        few = np.array([(total == 1).sum(), (total == 2).sum()])
+        data = [pack(few), *map(pack, np.split(heard, ends[:-1]))]
+        return pa.table([[rows["part"][0].as_py()] * len(data), blocks, data], schema=out)
+
+    out = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
+    sent = coded.select("block", "sizes", "learns", "ids", "words").mapInArrow(cut, _PARTS + "pairs binary, counts binary")
+    return stored_table(sent.groupBy("part").applyInArrow(merge, _PARTS + "data binary"), "zstd")
+
+
+class Level:
+    """What a sweep left in the restaurant of words: its spelling, discount, tables, customers and number (sweep)."""
+
+    def __init__(self, sweep: int, spelling: Spelling, d: float, tables: int, customers: int):
+        self.sweep, self.spelling, self.d, self.customers = sweep, spelling, d, customers
+        self.pull = STRENGTH + d * tables
+
+    def chance(self, base: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Logarithms of the words' probabilities, given those of their spelling."""
+        with np.errstate(divide="ignore"):
+            sits = np.log(np.maximum(customers - self.d * tables, 0)) - np.log(STRENGTH + self.customers)
+        return np.logaddexp(sits, np.log(self.pull) + base - np.log(STRENGTH + self.customers))
+
+
+def _lexicon_of(rows: pa.Table) -> tuple[pa.Array, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Of a range: its words, their training counts, and for each block the places of its words."""
+    filled = zip(*(rows[c].to_pylist() for c in ("block", "words", "numbers")), strict=True)
+    words, total, each = pa.array([], pa.binary()), np.empty(0, np.int64), []
+    for block, joined, numbers in filled:
+        if block is None:
+            words, total = pa.array(_split(joined), pa.binary()), unpack(numbers, np.int64)
+        else:
+            each.append((block, unpack(numbers, np.int32)))
+    return words, total, each
+
+
+def _values(lexicon: DataFrame, states: DataFrame, levels: list[Level]) -> DataFrame:
+    """For each block, range and sweep: the logarithms of its words' probabilities, the tables after them, and how
+    often they occur in training."""
+    shared = lexicon.sparkSession.sparkContext.broadcast({x.sweep: x for x in levels})
+
+    def value(known: pa.Table, states: pa.Table) -> pa.Table:
+        words, total, each = _lexicon_of(known)
+        rows = []
+        for state in states.to_pylist() if len(words) else []:
+            level = shared.value[state["sweep"]]
+            customers, tables, after = (unpack(state[c], np.int64) for c in ("customers", "tables", "after"))
+            chance = level.chance(level.spelling.words(words), customers, tables).astype(np.float32)
+            for block, at in each:
+                rows.append((block, state["part"], level.sweep, pack(chance[at]), pack(after[at]), pack(total[at])))
+        return pa.table(list(zip(*rows, strict=True)) or [[]] * 6, schema=out)
+
+    names = ["block", "part", "sweep", "data", "after", "total"]
+    out = pa.schema(list(zip(names, [pa.int64()] * 3 + [pa.binary()] * 3, strict=True)))
+    kinds = "block long, part long, sweep long, data binary, after binary, total binary"
+    return lexicon.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(value, kinds)
+
+
+def _received(rows: pa.Table, sweep: int | None, column: str, kind: type) -> np.ndarray:
+    """What the ranges sent to a block, in the order of its words or, without a sweep, of its pairs."""
+    rows = rows.filter(pc.equal(rows["sweep"], -1 if sweep is None else sweep)).sort_by("part")
+    return np.concatenate([np.empty(0, kind), *(unpack(x, kind) for x in rows[column].to_pylist())])
+
+
+def _pair_tables(own: Block, count: np.ndarray, received: pa.Table, sweep: int, d: float) -> np.ndarray:
+    """Tables of the block's pairs after the sweep; before the first each pair has one."""
+    tables = (count > 0).astype(np.int64)
+    if sweep:
+        many = np.flatnonzero(count > 1)
+        chance, after = (_received(received, sweep - 1, c, k) for c, k in (("data", np.float32), ("after", np.int64)))
+        pull = (STRENGTH + d * after[own.before[many]]) * np.exp(chance[own.word[many]].astype(np.float64))
+        tables[many] = seat(count[many], pull, d, keyed(own.pairs[many], sweep))
+    return tables
 
-    return words.mapInArrow(weigh, words.schema)
 
+def _sums(coded: DataFrame, sent: DataFrame, sweep: int, d: float, parts: int) -> DataFrame:
+    """For each range and block: tables after its words and tables that end in them, of the pairs it speaks for."""
 
-def _reseated(rows: DataFrame, keys: list[str], customers: str, d: float, sweep: int) -> DataFrame:
-    """`tables` sampled anew from the customers and from `pull`, which goes."""
-    names = [c for c in rows.columns if c != "pull"]
+    def add(texts: pa.Table, received: pa.Table) -> pa.Table:
+        rows = []
+        if texts.num_rows:
+            own, heard = Block.of(texts), _received(received, None, "data", np.int64)
+            tables = _pair_tables(own, heard >> 1, received, sweep, d) * (heard & 1)
+            after, within = (np.bincount(x, tables, len(own.hashes)).astype(np.int64) for x in (own.before, own.word))
+            rows = [(part, texts["block"][0].as_py(), pack(after[at]), pack(within[at])) for part, at in _ranges(own.hashes, parts)]
+        return pa.table(list(zip(*rows, strict=True)) or [[]] * 4, schema=out)
+
+    out = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("after", pa.binary()), ("within", pa.binary())])
+    texts = coded.select("block", "sizes", "ids", "words")
+    return texts.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(add, _PARTS + "after binary, within binary")
 
-    def reseat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = seat(batch.column(customers).to_numpy(), batch.column("pull").to_numpy(), d, _rng(sweep, *map(batch.column, keys)))
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"tables": pa.array(t)}
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    return rows.sortWithinPartitions(*keys).mapInArrow(reseat, T.StructType([rows.schema[c] for c in names]))
+def _seated(lexicon: DataFrame, sums: DataFrame, sweep: int, level: Level | None) -> DataFrame:
+    """The state of the words after a sweep: their customers (tables that end in them), tables, and tables after them."""
+    shared = lexicon.sparkSession.sparkContext.broadcast(level)
 
+    def reseat(known: pa.Table, sums: pa.Table) -> pa.Table:
+        words, total, each = _lexicon_of(known)
+        after, customers = (np.zeros(len(words), np.int64) for _ in range(2))
+        for row in sums.to_pylist():
+            at = dict(each)[row["block"]]
+            after[at] += unpack(row["after"], np.int64)
+            customers[at] += unpack(row["within"], np.int64)
+        tables = np.minimum(customers, 1)
+        many = np.flatnonzero(customers > 1)
+        if shared.value is not None and len(many):
+            some = words.take(pa.array(many))
+            pull = shared.value.pull * np.exp(shared.value.spelling.words(some))
+            tables[many] = seat(customers[many], pull, shared.value.d, keyed(_hashes(some.to_pylist()), sweep))
+        return pa.table([[known["part"][0].as_py()], [sweep], *([pack(x)] for x in (customers, tables, after))], schema=out)
 
-def _spelling(words: DataFrame, sweep: int) -> Spelling:
-    """The byte restaurants for the words' tables."""
+    out = pa.schema([("part", pa.int64()), ("sweep", pa.int64()), *((c, pa.binary()) for c in ("customers", "tables", "after"))])
+    kinds = "part long, sweep long, customers binary, tables binary, after binary"
+    return stored_table(lexicon.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(reseat, kinds), "zstd")
 
-    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+#: Sums that come with the counts of kinds, which aren't negative.
+EATERS, TABLES, ONES, TWOS, TOKENS, DISTINCT = range(-6, 0)
+
+
+def kind_counts(words: pa.Array, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kinds that the tables of these words spell, and how often."""
+    found, owner = spelled(words)
+    own, at = np.unique(found, return_inverse=True)
+    return own, np.bincount(at, tables[owner], len(own)).astype(np.int64)
+
+
+def _level(lexicon: DataFrame, state: DataFrame, sweep: int) -> tuple[Level, int, int]:
+    """The restaurant of words after a sweep; and the training tokens, in all and distinct."""
+
+    def count(known: pa.Table, states: pa.Table) -> pa.Table:
+        words, total, _ = _lexicon_of(known)
+        customers, tables = (unpack(states[c][0].as_py(), np.int64) for c in ("customers", "tables"))
+        spelt = np.flatnonzero(tables)
+        kinds, counts = kind_counts(words.take(pa.array(spelt)), tables[spelt])
+        sums = {EATERS: customers.sum(), TABLES: tables.sum(), ONES: (customers == 1).sum(), TWOS: (customers == 2).sum(), TOKENS: total.sum(), DISTINCT: (total > 0).sum()}
+        return pa.table([np.append(kinds, list(sums)), np.append(counts, list(sums.values()))], names=["kind", "customers"])
+
+    found = lexicon.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(count, "kind long, customers long")
+    table = found.groupBy("kind").agg(F.sum("customers").alias("customers")).toArrow().sort_by("kind")
+    kinds, counts = (x.to_numpy() for x in table.columns)
+    sums = dict(zip(kinds[kinds < 0].tolist(), counts.tolist(), strict=False))
+    spelling = Spelling(kinds[kinds >= 0], counts[kinds >= 0], sweep)
+    level = Level(sweep, spelling, discount(sums.get(ONES, 0), sums.get(TWOS, 0)), sums.get(TABLES, 0), sums.get(EATERS, 0))
+    return level, sums.get(TOKENS, 0), sums.get(DISTINCT, 0)
+
+
+def _left_over(lexicon: DataFrame, levels: list[Level]) -> list[float]:
+    """Of each sweep, the logarithm of what the spellings of the known words leave of the base, as a class of its own."""
+    shared = lexicon.sparkSession.sparkContext.broadcast([x.spelling for x in levels])
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, owner = spelled(batch.column(0))
-            own, at = np.unique(found, return_inverse=True)
-            counts = np.bincount(at, batch.column(1).to_numpy()[owner], len(own)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts)], names=["kind", "customers"])
+            for joined, numbers in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                words = pa.array(_split(joined), pa.binary()).filter(pa.array(unpack(numbers, np.int64) > 0))
+                sums = [float(np.exp(x.words(words)).sum()) if len(words) else 0.0 for x in shared.value]
+                yield pa.RecordBatch.from_arrays([pa.array([sums])], names=["known"])
 
-    found = words.where("tables > 0").select("word", "tables").mapInArrow(kinds, "kind long, customers long")
-    counts = stored_table(found.groupBy("kind").agg(F.sum("customers").alias("customers")))
-    table = counts.orderBy("kind").toArrow()
-    return Spelling(table["kind"].to_numpy(), table["customers"].to_numpy(), np.random.default_rng(sweep))
+    rows = lexicon.where("block IS NULL").select("words", "numbers").mapInArrow(known, "known array<double>")
+    rows = rows.select(F.posexplode("known").alias("at", "known")).groupBy("at").agg(F.sum("known").alias("known"))
+    sums = {r[0]: r[1] for r in rows.collect()}
+    return [np.log(x.pull * max(1 - sums.get(k, 0.0), 1e-300) / (STRENGTH + x.customers)) for k, x in enumerate(levels)]
 
 
 def lm_scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", sweeps: int = 2) -> DataFrame:
@@ -346,88 +534,52 @@ def lm_scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_co
     end; a null or empty text has the end only. n_known counts tokens that occur in training; base_score is the
     add-one unigram log10 probability with one class for unknown tokens, and `score` the model's over the same
     outcomes, each after the token before it: the class has what the spellings of the known words leave of the base.
-    `open_score` spells unknown words out instead. Without training rows every byte has the same chance. Null and repeated identifiers are given back as they are. An empty table gives an
-    empty result; other columns are ignored.
+    `open_score` spells unknown words out instead. Without training rows every byte has the same chance. Null and
+    repeated identifiers are given back as they are; repeated rows count each. An empty table gives an empty result;
+    other columns are ignored.
     """
     coded = _coded(docs, train, id_col, text_col)
-    vocabulary = coded.where("word IS NOT NULL").select("block", "number", "word", "hash", "count")
-    counted = _counted(coded.where("pair IS NOT NULL").select("block", "pair", "before", "hash", "count"))
-    ones = stored_table(_links(counted.where("ones IS NOT NULL"), "ones").withColumnsRenamed({"after": "one_after", "within": "one_within"}))
-    zero = F.lit(0).cast("long")
-    repeated = stored_table(counted.where("lead").select("before", "hash", "count", F.lit(1).cast("long").alias("tables"), zero.alias("seated")))
-    once = ones.agg(F.coalesce(F.sum("one_after"), zero)).first()[0]
-    pair_d = discount(once, repeated.where("count = 2").count())
-
-    def linked(words: DataFrame) -> DataFrame:
-        """Words with the tables of the pairs that end in them as customers, and with those after them as `after`."""
-        found = words.join(_links(repeated, "tables"), "hash", "left")
-        of = lambda side: (F.coalesce(side, zero) + F.coalesce(f"one_{side}", zero)).alias("customers" if side == "within" else side)
-        return found.select(*words.columns, of("within"), of("after"))
-
-    words = vocabulary.groupBy("word", "hash").agg(F.sum("count").alias("count")).join(ones, "hash", "left")
-    null, none = F.lit(0.0), F.array().cast("array<double>")
-    words = stored_table(linked(words).select("*", F.least("customers", F.lit(1)).alias("tables"), null.alias("base"), null.alias("chance"), none.alias("chances"), none.alias("backs")))
-    n, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0)).first()
-    unknown = []
+    parts = max(shuffle_partitions(docs.sparkSession), coded.count())  # so that a range is no larger than a block
+    lexicon = _lexicon(coded, parts)
+    pairs = _pair_counts(coded, parts)
+    few = [unpack(r[0], np.int64) for r in pairs.where("block IS NULL").select("data").toLocalIterator()]
+    pair_d = discount(*np.sum([np.zeros(2), *few], axis=0))
+    heard = pairs.where("block IS NOT NULL").select("block", "part", F.lit(-1).cast("long").alias("sweep"), "data")
+    states, levels, sent = None, [], heard
     for sweep in range(sweeps + 1):
-        eaters, tables, *few = words.agg(
-            F.coalesce(F.sum("customers"), F.lit(0)), F.coalesce(F.sum("tables"), F.lit(0)), F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2)
-        ).first()
-        d = discount(*few)
-        before, pull = words, STRENGTH + d * tables
-        back = (STRENGTH + pair_d * F.col("after")) / (STRENGTH + F.col("count"))
-        words = _weighed(before, _spelling(before, sweep), d, tables, eaters)
-        if sweep:
-            words = words.withColumns({"chances": F.array_append("chances", F.col("chance")), "backs": F.array_append("backs", F.log(back))})
-        words = stored_table(words)
-        unstored(before)
-        if sweep:  # what the known words' spellings leave
-            rest = 1 - words.agg(F.coalesce(F.sum(F.when(F.col("count") > 0, F.exp("base"))), F.lit(0.0))).first()[0]
-            unknown.append(np.log(pull * max(rest, 1e-300) / (STRENGTH + eaters)))
-            repeated = repeated.withColumn("seated", F.col("seated") + F.col("tables"))
-        if sweep == sweeps:
-            break
-        drawn = repeated.join(words.select("hash", "chance"), "hash").join(words.select(F.col("hash").alias("before"), "after"), "before")
-        drawn = drawn.select(*repeated.columns, ((STRENGTH + pair_d * F.col("after")) * F.exp("chance")).alias("pull"))
-        repeated = stored_table(_reseated(drawn, ["before", "hash"], "count", pair_d, sweep))
-        before = words
-        seated = linked(before.drop("customers", "after")).withColumn("pull", pull * F.exp("base"))
-        words = stored_table(_reseated(seated.select(*before.columns, "pull"), ["hash"], "customers", d, sweep))
-        unstored(before)
-    each = words.select("word", F.col("count").alias("total"), "chances", "backs")
-    own = vocabulary.select("block", "number", "word").join(each, "word")
-    sat = F.col("count") - pair_d * F.coalesce(F.col("seated") / sweeps, F.lit(1.0))
-    heard = counted.where("pair IS NOT NULL").select("block", "pair", "before", "hash", "count")
-    heard = heard.join(repeated.select("before", "hash", "seated"), ["before", "hash"], "left").select("block", "pair", sat.alias("sat"))
-    back = own.select("block", F.col("number").cast("long").alias("pair"), "total", "chances", "backs", F.lit(None).cast("double").alias("sat")).unionByName(heard, allowMissingColumns=True)
-    kind = coded.schema["doc_id"].dataType
+        state = _seated(lexicon, _sums(coded, sent, sweep, pair_d, parts), sweep, levels[-1] if levels else None)
+        states = state if states is None else states.unionByName(state)
+        level, n, distinct = _level(lexicon, state, sweep)
+        levels.append(level)
+        sent = heard.unionByName(_values(lexicon, state, levels[-1:]), allowMissingColumns=True)
+    sent = heard.unionByName(_values(lexicon, states, levels), allowMissingColumns=True)
+    unknown = _left_over(lexicon, levels[1:])
     schema = (
-        T.StructType().add("doc_id", kind).add("n_tokens", T.LongType()).add("n_known", T.LongType())
-        .add("train_tokens", T.LongType()).add("base_score", T.DoubleType()).add("score", T.DoubleType()).add("open_score", T.DoubleType())
+        T.StructType().add("doc_id", coded.schema["doc_ids"].dataType.elementType).add("n_tokens", T.LongType())
+        .add("n_known", T.LongType()).add("train_tokens", T.LongType()).add("base_score", T.DoubleType())
+        .add("score", T.DoubleType()).add("open_score", T.DoubleType())
     )
 
-    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        vocab, heard = known.filter(pc.is_valid(known["total"])).sort_by("pair"), known.filter(pc.is_valid(known["sat"]))
-        total = vocab["total"].to_numpy()
-        spelt, back = (vocab[x].combine_chunks().flatten().to_numpy().reshape(-1, sweeps) for x in ("chances", "backs"))
-        chance = np.where(total[:, None] > 0, spelt, np.array(unknown))
+    def score(texts: pa.Table, received: pa.Table) -> pa.Table:
+        own, count = Block.of(texts), _received(received, None, "data", np.int64) >> 1
+        total = _received(received, 0, "total", np.int64)
+        outcomes = [np.full(len(count), -np.inf) for _ in range(2)]
+        for sweep, rest in enumerate(unknown, 1):
+            chance, after = (_received(received, sweep, c, k) for c, k in (("data", np.float32), ("after", np.int64)))
+            tables = _pair_tables(own, count, received, sweep, pair_d)
+            back = np.log(STRENGTH + pair_d * after[own.before])
+            with np.errstate(divide="ignore"):
+                sits = np.log(count - pair_d * tables)
+            spelt = chance.astype(np.float64)
+            for k, x in enumerate((np.where(total > 0, spelt, rest), spelt)):
+                outcomes[k] = np.logaddexp(outcomes[k], np.logaddexp(sits, back + x[own.word]))
+        given = [(x - np.log(sweeps) - np.log(STRENGTH + total[own.before])) / np.log(10) for x in outcomes]
         base = np.log10((total + 1) / (n + distinct + 1))
-        ids = texts["ids"].combine_chunks()
-        size = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
-        flat, owner = ids.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
-        pairs, at = np.unique(np.concatenate([_after(x) for x in np.split(flat, np.cumsum(size)[:-1])]), return_inverse=True)
-        # A pair that only this block trains on, once, isn't sent to it.
-        sat = np.where(np.bincount(at, np.repeat(texts["count"].to_numpy(), size), len(pairs)) == 1, 1 - pair_d, 0.0)
-        sat[np.searchsorted(pairs, heard["pair"].to_numpy())] = heard["sat"].to_numpy()
-        u, w = pairs >> 32, pairs & 0xFFFFFFFF
-        with np.errstate(divide="ignore"):
-            sat = np.log(sat / (STRENGTH + total[u]))
-        given = [np.logaddexp(sat, np.logaddexp.reduce(back[u] + x[w], axis=1) - np.log(sweeps))[at] / np.log(10) for x in (chance, spelt)]
-        sums = [np.bincount(owner, x, len(size)) for x in ((total > 0)[flat], base[flat], *given)]
+        owner = np.repeat(np.arange(len(own.sizes)), own.sizes)
+        sums = [np.bincount(owner, x, len(own.sizes)) for x in ((total > 0)[own.ids], base[own.ids], *(x[own.at] for x in given))]
         return pa.table(
-            [texts["doc_id"], pa.array(size, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(size), n)), *map(pa.array, sums[1:])],
+            [texts["doc_ids"].combine_chunks().flatten(), pa.array(own.sizes), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(own.sizes), n)), *map(pa.array, sums[1:])],
             names=schema.names,
         )
 
-    texts = coded.where("ids IS NOT NULL").select(F.col("block").alias("of"), "doc_id", "ids", "count")
-    return texts.groupBy("of").cogroup(back.groupBy("block")).applyInArrow(score, schema)
+    return coded.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(score, schema)

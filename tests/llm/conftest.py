@@ -2,6 +2,7 @@ import os
 import sys
 
 import pytest
+from hard_rows import HARD
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, ROOT)
@@ -36,25 +37,6 @@ def table(spark):
     return make
 
 
-LONG = "A long line of many words here. " * 3000
-HARD = [
-    (1, "Same Text\nand a repeated line\nx"),
-    (2, "same text\nAND a repeated line \nx"),
-    (3, None),
-    (4, ""),
-    (5, " \t\n"),
-    (None, "no identifier at all\nand a repeated line"),
-    (6, LONG),
-    (7, LONG.lower()),
-    (8, "Ünïcode é and a repeated line"),
-    (9, "same text\nand a repeated line\nx"),
-    (9, "same text\nand a repeated line\nx"),
-    (10, "one two three four"),
-    (11, "One two three FOUR"),
-    (12, "🙂日本語 ½ 1,000 <s>hi</s>"),
-]
-
-
 @pytest.fixture(scope="session")
 def hard(table):
     return table(HARD)

@@ -8,7 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import HARD
+from hard_rows import HARD
 from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -323,8 +323,8 @@ def test_lm_is_a_distribution(table, spark):
 
     kinds, _ = spelled(pa.array([b"the", b"then", b"", b"other"], pa.binary()))
     own, counts = np.unique(kinds, return_counts=True)
-    model = Spelling(own, counts, np.random.default_rng(1))
-    for context in (0, 0x7468, 0x616263):
+    model = Spelling(own, counts, 1)
+    for context in (0, 0x7468, 0x6162):
         assert abs(model.probability((context << 8) + np.arange(256)).sum() - 1) < 1e-9
     grown = [(i, "alpha beta gamma alpha") for i in range(30)]
     from gradus.llm.pitman_yor import lm_scores
@@ -338,28 +338,140 @@ def test_lm_conditions_on_the_token_before(table, monkeypatch):
 
     fluent, shuffled = "the cat sat on the mat", "mat the on cat the sat"
     docs = table([*[(i, fluent + f" w{i}") for i in range(20)], (97, fluent), (98, shuffled), (99, fluent + " unseen")])
-    scores = lambda: {r.doc_id: r for r in pitman_yor.lm_scores(docs, F.col("doc_id") < 50).collect()}
-    rows = scores()
+    scores = lambda docs: {r.doc_id: r for r in pitman_yor.lm_scores(docs, F.col("doc_id") < 50).collect()}
+    rows = scores(docs)
     assert rows[97].base_score == pytest.approx(rows[98].base_score) and rows[97].score > rows[98].score + 3
     assert rows[99].open_score <= rows[99].score < rows[97].score
-    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", 20)  # the blocks are no part of the model
-    again = scores()
-    assert all(again[i].score == pytest.approx(rows[i].score, abs=0.5) for i in rows)
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", 20)  # neither blocks nor partitions are part of the model
+    again = scores(docs.repartition(7))
+    assert all(again[i].score == pytest.approx(rows[i].score, abs=1e-4) for i in rows)
 
 
-def test_lm_context_does_not_depend_on_size(spark, monkeypatch):
+def test_lm_context_does_not_depend_on_size():
     import numpy as np
     import pyarrow as pa
 
     from gradus.llm import pitman_yor
 
-    monkeypatch.setattr(pitman_yor, "KINDS", 10, raising=False)  # once a limit beyond which contexts were shorter
-    words = [b"the", b"then", b"other", b"brother", b"zebra"]
-    model = pitman_yor._spelling(spark.createDataFrame([(bytearray(w), 2) for w in words], "word binary, tables long"), 1)
-    kinds, _ = pitman_yor.spelled(pa.array(words, pa.binary()))
-    assert model.top == 4 and list(model.kinds[4]) == list(np.unique(kinds)) and model.customers[4].sum() == 2 * len(kinds)
-    many = np.arange(3_000_001, dtype=np.int64) << 8
-    assert pitman_yor.Spelling(many, np.ones(len(many), np.int64), np.random.default_rng(1), sweeps=0).top == 4
+    words = pa.array([b"the", b"then", b"other", b"brother", b"zebra"], pa.binary())
+    own, counts = pitman_yor.kind_counts(words, np.full(len(words), 2))
+    model = pitman_yor.Spelling(own, counts, 1)
+    kinds, _ = pitman_yor.spelled(words)
+    top = pitman_yor.CONTEXT + 1
+    assert model.top == top and list(model.kinds[top]) == list(np.unique(kinds)) and model.customers[top].sum() == 2 * len(kinds)
+    assert kinds.max() < 1 << 8 * top  # the bound of what is broadcast
+    many = np.arange(3_000_001, dtype=np.int64)
+    assert pitman_yor.Spelling(many, np.ones(len(many), np.int64), 1, sweeps=0).top == top
+
+
+def test_seat_is_one_customer_after_the_other(monkeypatch):
+    import numpy as np
+
+    from gradus.llm import pitman_yor
+
+    def one_by_one(customers, pull, d, key):
+        tables = 1
+        for seated in range(1, customers):
+            u = pitman_yor.uniform(np.array([key], np.uint64), seated - 1)[0]
+            tables += u < pull / (pull + max(seated - d * tables, 1e-9))
+        return tables
+
+    rng = np.random.default_rng(3)
+    keys = rng.integers(1, 1 << 62, 300).astype(np.uint64)
+    customers, pull = rng.integers(1, pitman_yor.EXACT, 300), rng.exponential(3, 300)
+    got = pitman_yor.seat(customers, pull, 0.6, keys)
+    assert got.tolist() == [one_by_one(int(c), p, 0.6, k) for c, p, k in zip(customers, pull, keys, strict=True)]
+    assert pitman_yor.seat(np.array([0, 1]), np.ones(2), 0.6, keys[:2]).tolist() == [0, 1]
+    # Groups against single customers: the mean and the spread of the tables.
+    for weight, d in ((0.01, 0.7), (2.0, 0.5), (300.0, 0.3)):
+        many = np.full(1500, 2000)
+        own = rng.integers(1, 1 << 62, 1500).astype(np.uint64)
+        grouped = pitman_yor.seat(many, np.full(1500, weight), d, own)
+        monkeypatch.setattr(pitman_yor, "EXACT", 10**9)
+        single = pitman_yor.seat(many, np.full(1500, weight), d, pitman_yor.mixed(own))
+        monkeypatch.undo()
+        spread = max(single.std(), 0.2)
+        assert abs(grouped.mean() - single.mean()) < 0.15 * spread and abs(grouped.std() / spread - single.std() / spread) < 0.1
+
+
+def test_binomial():
+    import numpy as np
+
+    from gradus.llm.pitman_yor import binomial
+
+    keys = np.random.default_rng(4).integers(1, 1 << 62, 20000).astype(np.uint64)
+    for n, p in ((6, 0.97), (40, 0.1), (2000, 0.01), (10**6, 1e-6), (500, 0.5), (10**9, 0.3)):
+        got = binomial(np.full(len(keys), n), np.full(len(keys), p), keys, 2)
+        sd = math.sqrt(n * p * (1 - p))
+        assert 0 <= got.min() and got.max() <= n
+        assert abs(got.mean() - n * p) < 0.04 * sd and abs(got.std() / sd - 1) < 0.04
+
+
+def brute_lm(rows, learns, sweeps=2):
+    """The model with dictionaries in one process; seats and spelling are the operator's own (tested above)."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gradus.llm import pitman_yor as P
+
+    tokens = lambda t: (t or "").encode().lower().split() + [b""]
+    after = lambda own: list(zip(own[-1:] + own[:-1], own, strict=True))
+    docs = [(i, tokens(t), learns(i)) for i, t in rows]
+    pairs = Counter(x for _, own, on in docs if on for x in after(own))
+    count = Counter(x for _, own, on in docs if on for x in own)
+    words = sorted({x for _, own, _ in docs for x in own})
+    hashes = dict(zip(words, P._hashes(words), strict=True))
+    keys = [P.mixed(np.array([P.mixed(np.array([hashes[u]]))[0] + hashes[w] * np.uint64(0x9E3779B97F4A7C15)]))[0] for u, w in pairs]
+    few = lambda c: P.discount(sum(x == 1 for x in c), sum(x == 2 for x in c))
+    pair_d, seated, tables, past = few(pairs.values()), dict.fromkeys(pairs, 1), None, []
+    for sweep in range(sweeps + 1):
+        back, eaters = Counter(), Counter()
+        for (u, w), t in seated.items():
+            back[u] += t
+            eaters[w] += t
+        if sweep == 0:
+            tables = {w: min(eaters[w], 1) for w in words}
+        else:
+            pull = (1 + d * sum(tables.values())) * np.exp(spelling.words(pa.array(words, pa.binary())))  # noqa: F821
+            new = P.seat(np.array([eaters[w] for w in words]), pull, d, P.keyed(np.array([hashes[w] for w in words]), sweep))  # noqa: F821
+            tables = dict(zip(words, new.tolist(), strict=True))
+        d = few(eaters.values())
+        spelt = [w for w in words if tables[w]]
+        kinds = Counter()
+        for w in spelt:
+            for k in P.spelled(pa.array([w], pa.binary()))[0].tolist():
+                kinds[k] += tables[w]
+        spelling = P.Spelling(np.array(sorted(kinds), np.int64), np.array([kinds[k] for k in sorted(kinds)], np.int64), sweep)
+        base = dict(zip(words, np.exp(spelling.words(pa.array(words, pa.binary()))), strict=True))
+        weight = 1 + d * sum(tables.values())
+        n = sum(eaters.values())
+        chance = {w: (max(eaters[w] - d * tables[w], 0) + weight * base[w]) / (1 + n) for w in words}
+        rest = weight * (1 - sum(base[w] for w in words if count[w])) / (1 + n)
+        past.append((dict(seated), back, {w: chance[w] if count[w] else rest for w in words}))
+        new = P.seat(np.array(list(pairs.values())), np.array([(1 + pair_d * back[u]) * np.float64(np.exp(np.float64(np.float32(np.log(chance[w]))))) for u, w in pairs]), pair_d, P.keyed(np.array(keys), sweep + 1))
+        seated = dict(zip(pairs, new.tolist(), strict=True))
+
+    def given(u, w):
+        each = [(pairs[u, w] - pair_d * t.get((u, w), 0) + (1 + pair_d * back[u]) * p[w]) / (1 + count[u]) for t, back, p in past[1:]]
+        return math.log10(sum(each) / len(each))
+
+    return [(i or 0, sum(given(u, w) for u, w in after(own))) for i, own, _ in docs]
+
+
+@pytest.mark.parametrize("tokens", [4_000_000, 30])
+def test_lm_scores_are_the_model(table, monkeypatch, tokens):
+    from gradus.llm import pitman_yor
+
+    rng = random.Random(13)
+    words = ["the", "of", "river", "stone", "walks", "slowly", "under", "light", "é", "X"]
+    rows = [(i, " ".join(rng.choices(words, weights=range(10, 0, -1), k=rng.randint(0, 60)))) for i in range(60)]
+    rows += [(i, "the river walks " * 80) for i in range(60, 64)] + [(None, "unseen words"), (64, None), (63, "the of")]
+    learns = lambda i: i is not None and i % 5 != 0
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", tokens)
+    got = pitman_yor.lm_scores(table(rows), F.col("doc_id") % 5 != 0).collect()
+    want = sorted(brute_lm(rows, learns))
+    for have, (i, score) in zip(sorted((r.doc_id or 0, r.score) for r in got), want, strict=True):
+        assert have == (i, pytest.approx(score, abs=1e-3))
 
 
 def test_pipeline(spark, tmp_path, table):
