@@ -10,6 +10,7 @@ import ast
 import math
 import random
 import re
+from collections.abc import Callable
 
 NUMBER, EQUATION, QUANTITY, FORMULA, TEXT, OPTION = "number", "equation", "physical_quantity", "formula", "text", "option"
 _DELIMITERS = [re.compile(p, re.S) for p in (r"\$\$(.*?)\$\$", r"\$(.*?)\$", r"\\\[(.*?)\\\]", r"\\\((.*?)\\\)")]
@@ -17,7 +18,7 @@ _WRAPPERS = ("\\boxed{", "\\text{", "\\mathrm{")
 _LATEX_START = re.compile(r"\s*(?:\$|\\\[|\\\(|\\boxed\{|\\frac\{|\\text\{|\\mathrm\{)")
 _FRACTION = re.compile(r"\\frac\{(-?[\d.]+)\}\{(-?[\d.]+)\}")
 _NUMBER_THEN_UNIT = re.compile(r"\s*-?\d+(?:\.\d+)?(?:\s*(?:\*\*|\^)\s*(?:\{[^}]*\}|\([^)]*\)|-?\d+))?\s*[A-Za-z/]")
-_QUANTITY = re.compile(r"(-?)(\d+(?:\.\d+)?)(?:/(\d+(?:\.\d+)?))?(?:(?:\*\*|\^)(\([^)]*\)|-?\d+))?([A-Za-z/].*)", re.S)
+_QUANTITY = re.compile(r"(?P<base>-?\d+(?:\.\d+)?(?:/\d+(?:\.\d+)?)?)(?:\*\*(?P<power>[-+*()\d]+)|\^(?P<raised>-?\d+))?(?P<unit>.*)", re.S)
 
 
 def _float(text: str) -> float | None:
@@ -105,28 +106,23 @@ def _exponent(text: str) -> int | None:
     return found if abs(found) <= 400 else None
 
 
-def normalise_quantity(text: str) -> str | None:
-    """'number unit' with the number worked out and the unit without blanks; None if it isn't a quantity."""
+def normalise_quantity(text: str) -> str:
+    """'number unit' with the number worked out and the unit without blanks; what can't be worked out is given back
+    with its blanks collapsed."""
     text = re.sub(r"\\(?:mathrm|text)\{([^{}]*)\}", r"\1", text).replace("~", " ").replace("\\cdot", " ")
-    text = re.sub(r"\\frac\{([^{}]*)\}\{([^{}]*)\}", r"\1/\2", text)
-    text = re.sub(r"\^\{([^{}]*)\}", r"^\1", text)
+    text = re.sub(r"\\frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", lambda m: f"{m[1].strip()}/{m[2].strip()}", text)
+    text = re.sub(r"\^\{([^{}]+)\}", r"^\1", text)
+    as_it_is = re.sub(r"\s+", " ", text).strip()
     m = _QUANTITY.fullmatch(re.sub(r"\s+", "", text))
-    if not m:
-        return None
-    base = float(m[2])
-    if m[3]:
-        if not float(m[3]):
-            return None
-        base /= float(m[3])
-    if m[4]:
-        power = _exponent(m[4])
-        if power is None:
-            return None
-        try:
-            base = base**power
-        except OverflowError:
-            return None
-    return f"{format_number(-base if m[1] else base)} {m[5]}"
+    base = parse_number(m["base"]) if m else None
+    if base is None:
+        return as_it_is
+    power = _exponent(m["power"] or m["raised"] or "")
+    try:
+        value = base if power is None else math.copysign(abs(base) ** power, base)
+    except (OverflowError, ZeroDivisionError):
+        return as_it_is
+    return f"{format_number(value)} {m['unit']}".strip()
 
 
 def classify(text: str) -> str:
@@ -144,23 +140,33 @@ def normalise_answer(text: str | None) -> tuple[str, str]:
         return NUMBER, format_number(number)
     clean, had = extract_math(text)
     if not _LATEX_START.match(text):
-        if classify(clean) == QUANTITY and (found := normalise_quantity(clean)) is not None:
-            return QUANTITY, found
-        return TEXT, clean.strip()
+        return (QUANTITY, normalise_quantity(clean)) if classify(clean) == QUANTITY else (TEXT, clean.strip())
     kind = classify(clean)
     if kind == QUANTITY:
-        found = normalise_quantity(clean)
-        return (QUANTITY, found) if found is not None else (TEXT, clean.strip())
+        return QUANTITY, normalise_quantity(clean)
     return kind, re.sub(r"\s+", " ", preprocess_latex(clean) if had else clean).strip()
 
 
-_PROTECTED = ("hbar", "omega", "theta", "lambda", "epsilon", "sigma", "phi")
+#: Commands that a LaTeX reader would stumble over, and the names that stand for them; the order counts.
+PROTECTED = (
+    ("\\hbar", "hbar"), ("\\mu_0", "mu0"), ("\\epsilon_0", "eps0"), ("\\ell", "ell"), ("\\square", "dalembert"),
+    ("\\angstrom", "angstrom"), ("\\degree", "deg"),
+)
+SPACINGS = ("\\,", "\\:", "\\;", "\\!", "\\quad", "\\qquad")
+DIFFERENTIALS = ("\\mathrm{d}", "\\text{d}")
 
 
-def preprocess_latex(text: str) -> str:
-    """Spacing commands become blanks, accents go, and blanks are collapsed."""
-    text = re.sub(r"\\(?:quad|qquad|[,;:! ])", " ", text)
-    text = re.sub(r"\\(?:vec|hat)\{([^{}]*)\}", r"\1", text)
+def preprocess_latex(text: str | None) -> str:
+    """Spacing commands become blanks, protected symbols upright names, accents go, upright d's stand alone, and blanks
+    are collapsed. A null gives an empty text."""
+    text = text or ""
+    for command in SPACINGS:
+        text = text.replace(command, " ")
+    for command, name in PROTECTED:
+        text = text.replace(command, f"\\mathrm{{{name}}}")
+    text = re.sub(r"\\(?:vec|hat)\{([^}]*)\}", r"\1", text)
+    for command in DIFFERENTIALS:
+        text = text.replace(command, " d ")
     return re.sub(r"\s+", " ", text).strip()
 
 
@@ -254,49 +260,70 @@ def compare_exact(p: str | None, g: str | None) -> bool:
     return (p or "").strip() == (g or "").strip()
 
 
-def compare_normalised(p: str | None, g: str | None) -> bool:
-    """Same category and canonical form; numbers within 1e-10, without rounding."""
+def compare_normalised(p: str | None, g: str | None, p_kind: str | None = None, g_kind: str | None = None) -> bool:
+    """Same category and canonical form; numbers within 1e-10, without rounding. Options, if both are typed so, in any
+    case; the category of other typed answers doesn't count."""
+    if p_kind == g_kind == OPTION:
+        return (p or "").strip().upper() == (g or "").strip().upper()
     (a, x), (b, y) = normalise_answer(p), normalise_answer(g)
     if a != b:
         return compare_exact(p, g)
     if a == NUMBER:
-        return x == y or abs(float(x) - float(y)) < 1e-10
+        return abs(float(x) - float(y)) < 1e-10  # never of infinities, whose difference is NaN
     return x == y
 
 
-def _same(kind: str, p: str, g: str) -> bool:
+Rules = dict[str, Callable[[str, str], bool]]
+
+
+def _same(kind: str, p: str, g: str, rules: Rules | None = None) -> bool:
+    if rules and kind in rules:
+        return rules[kind](p, g)
     if kind == NUMBER:
-        return same_number(float(p), float(g))
+        return same_number(parse_number(p), parse_number(g))
     if kind == QUANTITY:
         return same_quantity(p, g)
-    return same_formula(p, g) if kind == FORMULA else p == g
+    if kind == FORMULA:
+        return same_formula(p, g)
+    return p.strip() == g.strip() if kind == TEXT else p == g
 
 
-def compare_category(p: str | None, g: str | None) -> bool:
-    """By the rule of the category both share; of different categories as raw text."""
-    (a, x), (b, y) = normalise_answer(p), normalise_answer(g)
-    return _same(a, x, y) if a == b else compare_exact(p, g)
+def _side(text: str | None, category: str | None) -> tuple[str, str]:
+    """Category and text of one side: a typed answer keeps its own, raw text is read."""
+    return normalise_answer(text) if category is None else (category, text or "")
 
 
-def compare_smart(p: str | None, g: str | None) -> bool:
-    """As compare_category, with the right-hand sides of equations and rules across categories."""
-    (a, x), (b, y) = normalise_answer(p), normalise_answer(g)
+def compare_category(p: str | None, g: str | None, p_kind: str | None = None, g_kind: str | None = None, rules: Rules | None = None) -> bool:
+    """By the rule of the category both share; of different categories as raw text. `p_kind` and `g_kind` are given
+    for typed answers. `rules` replace or add rules by category; one that isn't known compares as plain text."""
+    (a, x), (b, y) = _side(p, p_kind), _side(g, g_kind)
+    return _same(a, x, y, rules) if a == b else compare_exact(p, g)
+
+
+def compare_smart(p: str | None, g: str | None, p_kind: str | None = None, g_kind: str | None = None, strict: bool = False) -> bool:
+    """As compare_category, with the right-hand sides of equations and rules across categories.
+
+    A number given as a typed answer is read as a number; `strict` compares it as its text instead.
+    """
+    (a, x), (b, y) = _side(p, p_kind), _side(g, g_kind)
     if a != b:
-        if a == EQUATION or (p or "").count("=") == 1:
-            a, x = normalise_answer((p or "").partition("=")[2].strip(" $"))
+        if a == EQUATION or x.count("=") == 1:
+            a, x = normalise_answer(x.partition("=")[2].strip() if "=" in x else x)
         if b == EQUATION:
-            b, y = normalise_answer((g or "").partition("=")[2].strip(" $"))
+            b, y = normalise_answer(y.partition("=")[2].strip() if "=" in y else y)
     if a == b:
-        return _same(a, x, y)
+        if strict and a == NUMBER and NUMBER in (p_kind, g_kind):
+            return x == y
+        return x == y if a in (TEXT, EQUATION) else _same(a, x, y)
     if b == NUMBER:
+        value = _float(y)
         if a == QUANTITY:
-            return same_number(parse_quantity(x)[0], float(y))
-        return a == TEXT and y in x
-    if b == TEXT:
-        if a == NUMBER:
-            return x in y
-        if a == QUANTITY:
-            value, unit = parse_quantity(x)
-            return value is not None and format_number(value) in y and unit in y
-        return a == FORMULA and x in y
-    return False
+            return not (strict and g_kind) and same_number(parse_quantity(x)[0], value)
+        if a == TEXT and value is not None:
+            whole = math.isfinite(value) and value == int(value)
+            return (y if g_kind else str(value)) in x or (whole and str(int(value)) in x)
+        return False
+    if b == TEXT and a == QUANTITY:
+        value, unit = parse_quantity(x)
+        return value is not None and str(value) in y and unit in y
+    return b == TEXT and a == FORMULA and x in y

@@ -116,6 +116,15 @@ def word_count(text: Column) -> Column:
     return F.when(clean == "", 0).otherwise(F.size(F.split(clean, r"\s+"))).cast("long")
 
 
+def reason_answer(response: Column) -> Column:
+    """struct<reason, answer, error> of a JSON reply; what it lacks is empty, an empty or broken reply is an error."""
+    found = F.from_json(response, "reason string, answer string")
+    kind = F.json_object_keys(response).isNotNull()
+    error = F.when(strip(F.coalesce(response, F.lit(""))) == "", "empty response").when(~kind, "not a JSON object")
+    part = lambda c: F.coalesce(found[c], F.lit("")).alias(c)
+    return F.struct(part("reason"), part("answer"), error.alias("error"))
+
+
 def answer_tag(response: Column) -> Column:
     """What the first answer tag holds, stripped; null without a tag."""
     pattern = r"(?is)<answer>\s*(.*?)\s*</answer>"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import answers
 from .columns import strip
 
 #: The order counts: the first name that is part of an unknown one, or has it as a part, is taken.
@@ -33,33 +34,57 @@ def normalise_language(name: Column) -> Column:
 
 
 def extract_options(question: Column) -> Column:
-    """'A: text' of each '(A) text' in a question, A to D or 1 to 4."""
-    pattern = r"(?s)\(([A-D1-4])\)\s*([^()]+?)(?=\s*\([A-D1-4]\)|\s*$)"
+    """'A: text' of each '(A) text' in a question, A to D or 1 to 4; if there is none, the lines that begin so."""
+    pattern = r"(?s)\(([A-D1-4])\)\s*([^()]+?)(?=\([A-D1-4]\)|$)"
     letters = F.regexp_extract_all(question, F.lit(pattern), 1)
-    texts = F.regexp_extract_all(question, F.lit(pattern), 2)
-    return F.zip_with(letters, texts, lambda a, b: F.concat(a, F.lit(": "), F.trim(b)))
+    texts = F.transform(F.regexp_extract_all(question, F.lit(pattern), 2), strip)
+    found = F.filter(F.zip_with(letters, texts, lambda a, b: F.when(b != "", F.concat(a, F.lit(": "), b))), lambda x: x.isNotNull())
+    lines = F.filter(F.transform(F.split(question, "\n"), strip), lambda x: x.rlike(r"^\([A-D1-4]\)"))
+    return F.when(F.size(found) > 0, found).otherwise(lines)
+
+
+_FLOAT = r"[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?|(?i:inf(inity)?|nan))"
 
 
 def is_pure_number(text: Column) -> Column:
-    number = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
-    return F.translate(text, ", ", "").rlike(f"^{number}(/{number})?$")
+    """A number with commas or blanks inside, or one fraction of two such; with an e or E, which exponents and `one`
+    have, only a number by itself."""
+    clean = F.translate(text, ", ", "")
+    return clean.rlike(f"^{_FLOAT}$") | (~clean.rlike("[eE]") & clean.rlike(f"^{_FLOAT}/{_FLOAT}$"))
+
+
+_MATHEMATICAL = r"[-+*/=^$\\√π∞±≤≥≠≈]|sqrt|[0-9]\s*[a-zA-Z]|[a-zA-Z]\s*[0-9]|[a-zA-Z]_[a-zA-Z0-9]|(?i)\b(sin|cos|tan|log|ln|exp)\s*\("
 
 
 def is_mathematical(text: Column) -> Column:
-    marks = text.rlike(r"[-+*/=^_\\{}<>]|[0-9][A-Za-z]|[A-Za-z][0-9]") | text.rlike("^[A-Za-z]$")
-    return marks & ~is_pure_number(text)
+    """A letter by itself, or any operator, mathematical sign, digit beside a letter, subscript, function call or LaTeX;
+    a number alone isn't."""
+    clean = strip(text)
+    return clean.rlike(r"^\p{L}$") | (clean.rlike(_MATHEMATICAL) & ~is_pure_number(clean))
+
+
+def unwrapped(text: Column) -> Column:
+    """Without boxes and dollars around a part."""
+    plain = F.regexp_replace(strip(text), r"\\boxed\{([^}]+)\}", "$1")
+    return F.regexp_replace(F.regexp_replace(plain, r"\$\$(.*?)\$\$", "$1"), r"\$([^$]+)\$", "$1")
 
 
 def detect_category(text: Column) -> Column:
     """The loaders' rule: number, formula or text; coarser than the evaluation's."""
-    clean = F.trim(F.translate(F.regexp_replace(text, r"\\boxed\{([^{}]*)\}", "$1"), "$", ""))
+    clean = unwrapped(text)
     return F.when(is_pure_number(clean), "number").when(is_mathematical(clean), "formula").otherwise("text")
 
 
 def preprocess_latex(text: Column) -> Column:
-    spaced = F.regexp_replace(text, r"\\(qquad|quad|[,;:! ])", " ")
-    plain = F.regexp_replace(spaced, r"\\(vec|hat)\{([^{}]*)\}", "$2")
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    """As answers.preprocess_latex, native."""
+    for command in answers.SPACINGS:
+        text = F.replace(text, F.lit(command), F.lit(" "))
+    for command, name in answers.PROTECTED:
+        text = F.replace(text, F.lit(command), F.lit(f"\\mathrm{{{name}}}"))
+    text = F.regexp_replace(text, r"\\(vec|hat)\{([^}]*)\}", "$2")
+    for command in answers.DIFFERENTIALS:
+        text = F.replace(text, F.lit(command), F.lit(" d "))
+    return F.coalesce(strip(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit(""))
 
 
 def data_address(path: Column, content: Column) -> Column:

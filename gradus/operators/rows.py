@@ -49,9 +49,19 @@ def slice_positions(df: DataFrame, step: slice, n: int, pos: str = "pos") -> Dat
     return df.where(at.between(min(found), max(found)) & ((at - found[0]) % abs(found.step) == 0))
 
 
+def _sorted_once(df: DataFrame) -> DataFrame:
+    context = df.sparkSession.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named and context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(named)
+    return df if context._jsc.sc().getCheckpointDir().isEmpty() else df.checkpoint()
+
+
 def with_position(df: DataFrame, order: str | Sequence[str], pos: str = "pos") -> DataFrame:
-    """Number the rows by a sort key: places inside the sorted partitions plus the partitions' counts before them."""
-    placed = df.orderBy(order).withColumns({"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()})
+    """Number the rows from 0 by a sort key: places inside the sorted partitions plus the partitions' counts before
+    them. Both branches must read the same partitions, so where a checkpoint folder is named the sorted rows are stored
+    first; without one (local sessions) both plans sort the same way."""
+    placed = _sorted_once(df.orderBy(order)).withColumns({"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()})
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row for each partition
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_part", before.alias("_before"))

@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import text as X
+from ..functions import typed as Y
+from ..operators import dataset as P
+from ..operators import evaluation as E
 from ..operators import rows as R
+from ..sources import downloads as D
+from ..sources import hub as H
+from ..sources import loaders as L
 from . import annotation as A
+from . import golden
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -77,16 +84,18 @@ def filter_by_keywords(spark, d):
     return R.filter_by_keywords(docs, ["License", "the with"], ["text", "source", "absent"]).select("doc_id")
 
 
-@query("SELECT doc_id, nth FROM (VALUES (0, 5), (1, 3), (2, 5), (3, 99999999)) v(nth, pos) JOIN documents ON doc_id = pos")
+@query("""SELECT doc_id, CAST(nth AS BIGINT) AS nth FROM (VALUES (0, 5), (1, 3), (2, 5), (3, 99999999), (4, -1)) v(nth, pos)
+ JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) USING (pos)""")
 def select_by_index(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", F.col("doc_id").alias("pos"))
-    return R.select_positions(docs, [5, 3, 5, 99999999]).select("doc_id", F.col("nth").cast("int").alias("nth"))
+    docs = R.with_position(_t(spark, d, "documents").select("doc_id"), "doc_id")
+    return R.select_positions(docs, [5, 3, 5, 99999999, -1]).select("doc_id", "nth")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id BETWEEN 10 AND 99 AND (doc_id - 10) % 7 = 0")
+@query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)
+ WHERE pos >= 10 AND pos < n - 5 AND (pos - 10) % 7 = 0""")
 def slice_step(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", F.col("doc_id").alias("pos"))
-    return R.slice_positions(docs, slice(10, 100, 7), 200).select("doc_id")
+    docs = P.ProblemSet(_t(spark, d, "documents").select("doc_id"), order="doc_id")
+    return docs[10:-5:7].df.select("doc_id")
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents")
@@ -122,10 +131,12 @@ def dataset_statistics(spark, d):
     return R.statistics(_t(spark, d, "documents"), ["lang", "source"])
 
 
-@query("SELECT coalesce(CAST(quality AS VARCHAR), 'unknown') AS quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+@query("""SELECT 'total' AS kind, '' AS value, count(*) AS n FROM labels UNION ALL SELECT 'field', f, (SELECT count(*) FROM labels)
+ FROM (VALUES ('doc_id'), ('difficulty'), ('has_images')) v(f) UNION ALL SELECT 'difficulty_distribution', coalesce(CAST(quality AS VARCHAR), 'unknown'), count(*) FROM labels GROUP BY 2
+ UNION ALL SELECT 'images', CASE WHEN toxic = 1 THEN 'with' ELSE 'without' END, count(*) FROM labels GROUP BY 2""")
 def field_distribution(spark, d):
-    joined = _t(spark, d, "documents").select("doc_id").join(_t(spark, d, "labels"), "doc_id", "left")
-    return joined.groupBy(F.coalesce(F.col("quality").cast("string"), F.lit("unknown")).alias("quality")).agg(F.count(F.lit(1)).alias("n"))
+    labels = _t(spark, d, "labels").select("doc_id", F.col("quality").alias("difficulty"), (F.col("toxic") == 1).alias("has_images"))
+    return P.field_statistics(labels, images="has_images")
 
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
@@ -133,10 +144,11 @@ def duplicate_ids(spark, d):
     return R.duplicates(_t(spark, d, "lineitem"), "l_orderkey")
 
 
-@query("SELECT doc_id AS id, 'documents' AS dataset FROM documents UNION ALL SELECT item_id, 'benchmark' FROM benchmark")
+@query("""SELECT id, dataset, pos FROM (SELECT doc_id AS id, 'documents' AS dataset, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents UNION ALL
+ SELECT item_id, 'benchmark', row_number() OVER (ORDER BY item_id) - 1 + (SELECT count(*) FROM documents) FROM benchmark)""")
 def union_datasets(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("documents").alias("dataset"))
-    return docs.unionByName(_t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("dataset")))
+    part = lambda name, key: P.ProblemSet(_t(spark, d, name).select(F.col(key).alias("id"), F.lit(name).alias("dataset")), order="id")
+    return part("documents", "doc_id").extend(part("benchmark", "item_id")).df.select("id", "dataset", F.col("pos").cast("long").alias("pos"))
 
 
 def _lines(spark, d):
@@ -196,7 +208,7 @@ def compare_category(spark, d):
     return _compared(spark, d, C.compare_category)
 
 
-@query(_truth(0, 1, 2, 3, 5))
+@query(_truth(0, 1, 2, 3))
 def compare_smart(spark, d):
     return _compared(spark, d, C.compare_smart)
 
@@ -228,9 +240,12 @@ def parse_answer_tag(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", C.answer_tag(wrapped).alias("answer"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS reason, CASE WHEN event_id % 5 < 2 THEN '' ELSE CAST(event_id AS VARCHAR) END AS answer,
+ CASE event_id % 5 WHEN 0 THEN CASE WHEN event_id % 2 = 0 THEN 'empty response' ELSE 'not a JSON object' END END AS error FROM events""")
 def parse_json_fields(spark, d):
-    return _t(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    full = F.to_json(F.struct(F.col("event_type").alias("reason"), F.when(F.col("event_id") % 5 > 1, F.col("event_id").cast("string")).alias("answer")))
+    reply = F.when(F.col("event_id") % 5 > 0, full).when(F.col("event_id") % 2 == 0, " ").otherwise("[1")
+    return _t(spark, d, "events").select("event_id", C.reason_answer(reply).alias("x")).select("event_id", "x.*")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 6 < 5 THEN CAST(p_size % 6 AS BIGINT) END AS option FROM part")
@@ -251,26 +266,33 @@ def explode_subquestions(spark, d):
     return docs.withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("""SELECT event_type, count(*) AS runs, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS failed,
- round(avg(value), 6) AS seconds FROM events GROUP BY 1""")
+@query("""SELECT round(60.0 * count(*) / sum(value), 9) AS problems_per_minute, round(avg(value), 9) AS average_module_execution_time,
+ CAST(100.0 * count(*) FILTER (WHERE value <= 50) AS DOUBLE) / count(*) AS success_rate_percentage FROM events""")
 def workflow_trace_metrics(spark, d):
-    return _t(spark, d, "events").groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("runs"), F.count_if(F.col("value") > 50).alias("failed"), F.round(F.avg("value"), 6).alias("seconds")
-    )
+    traces = _t(spark, d, "events").select("value", F.when(F.col("value") > 50, "failed").otherwise("success").alias("status"))
+    found = A.performance(traces, "value", "status")  # sums of doubles depend on their order in the last digits
+    return found.withColumns({c: F.round(c, 9) for c in ("problems_per_minute", "average_module_execution_time")})
 
 
-@query("SELECT conv_id, count(*) AS steps, arg_max(text, turn) AS last FROM conversations GROUP BY 1")
+@query("""SELECT conv_id AS problem_id, CAST(count(*) + 1 AS INT) AS steps, 'Unknown' AS domain, arg_min(text, turn) AS first_step, 'end' AS last_name
+ FROM conversations GROUP BY 1""")
 def solution_steps(spark, d):
-    turns = _t(spark, d, "conversations").groupBy("conv_id")
-    return turns.agg(F.count(F.lit(1)).alias("steps"), F.max_by("text", "turn").alias("last"))
-
-
-@query("""SELECT doc_id, 'head' AS part FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 5) UNION ALL
- SELECT doc_id, 'tail' FROM (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 5)""")
+    turns = _t(spark, d, "conversations").groupBy(F.col("conv_id").alias("problem_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    tools = F.create_map().cast("map<string,string>")
+    listed = F.transform("turns", lambda t: F.struct(t["turn"].cast("string").alias("step_name"), t["text"].alias("step_content"), F.lit("turn").alias("step_type"), tools.alias("tool_usage")))
+    answers = turns.select("problem_id", F.lit("$x$").alias("agent_answer"), A.add_step(listed, F.lit("end"), F.lit("done")).alias("intermediate_steps"))
+    problems = turns.select("problem_id", F.lit(None).cast("string").alias("domain"), F.lit("OE").alias("problem_type"))
+    found, about = A.solutions(problems, answers), A.solution_summary()
+    first, names = F.col("intermediate_steps")[0]["step_content"], A.step_names(F.col("intermediate_steps"))
+    return found.select("problem_id", about["steps"].alias("steps"), about["domain"].alias("domain"), first.alias("first_step"), F.element_at(names, -1).alias("last_name"))
+
+
+@query("""SELECT doc_id, part, pos FROM (SELECT doc_id, 'head' AS part, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) WHERE pos < 5 UNION ALL
+ SELECT doc_id, part, pos FROM (SELECT doc_id, 'tail' AS part, 4 - (row_number() OVER (ORDER BY doc_id DESC) - 1) AS pos FROM documents) WHERE pos >= 0""")
 def take_head_tail(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id")
-    head = docs.orderBy("doc_id").limit(5).withColumn("part", F.lit("head"))
-    return head.unionByName(docs.orderBy(F.desc("doc_id")).limit(5).withColumn("part", F.lit("tail")))
+    docs = P.ProblemSet(_t(spark, d, "documents").select("doc_id"), order="doc_id")
+    part = lambda x, name: x.df.select("doc_id", F.lit(name).alias("part"), F.col("pos").cast("long").alias("pos"))
+    return part(docs.head(), "head").unionByName(part(docs.tail(), "tail"))
 
 
 @query("""SELECT doc_id, lang FROM (SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang
@@ -280,15 +302,17 @@ def per_domain_then_total(spark, d):
     return R.sample(capped, 40, "doc_id", 4).select("doc_id", "lang")
 
 
-@query("""SELECT count(*) AS rows, count(*) FILTER (WHERE text IS NULL) AS no_text, count(*) FILTER (WHERE lang IS NULL) AS no_lang,
- (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)) AS duplicate_ids FROM documents""")
+@query("""SELECT true AS valid, count(*) AS rows, []::VARCHAR[] AS issues, [count(*) FILTER (WHERE m > 0) || ' rows have other fields than the first',
+ count(DISTINCT l_orderkey) FILTER (WHERE n > 1) || ' identifiers occur again'] AS warnings, count(*) FILTER (WHERE m > 0) AS drifted,
+ count(DISTINCT l_orderkey) FILTER (WHERE n > 1) AS duplicates FROM (SELECT l_orderkey, (l_orderkey - min(l_orderkey) OVER ()) % 10 AS m,
+ count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)""")
 def validate_format(spark, d):
-    each = _t(spark, d, "documents").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").isNull()).alias("t"), F.count_if(F.col("lang").isNull()).alias("l")
-    )
-    return each.agg(
-        F.sum("n").alias("rows"), F.sum("t").alias("no_text"), F.sum("l").alias("no_lang"), F.count_if(F.col("n") > 1).alias("duplicate_ids")
-    )
+    lines = _t(spark, d, "lineitem").select("l_orderkey")
+    first = lines.agg(F.min("l_orderkey").alias("least"))  # one row
+    other = (F.col("l_orderkey") - F.col("least")) % 10 > 0
+    fields = F.when(other, F.create_map(F.lit("problem_id"), F.lit("x"))).otherwise(F.create_map(F.lit("problem_id"), F.lit("x"), F.lit("question"), F.lit("y")))
+    table = lines.crossJoin(F.broadcast(first)).select("l_orderkey", fields.alias("fields"))
+    return P.validate(table, key="l_orderkey", record="fields", pos="l_orderkey")
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN 'de' WHEN 2 THEN 'en' ELSE 'zh' END AS language FROM documents""")
@@ -310,40 +334,48 @@ def detect_category(spark, d):
     return _lines(spark, d).select("l_orderkey", "l_linenumber", X.detect_category(text).alias("category"))
 
 
-@query(f"WITH {_ANSWERS} SELECT l_orderkey, l_linenumber, q || ' v + u' AS latex FROM lines")
+@query(f"WITH {_ANSWERS} SELECT l_orderkey, l_linenumber, q || ' v + u \\mathrm{{hbar}} d x' AS latex FROM lines")
 def latex_normalize(spark, d):
-    text = F.expr(r"q || '\\,\\vec{v} \\quad+  \\hat{u}'")
+    text = F.expr(r"q || '\\,\\vec{v} \\quad+  \\hat{u} \\hbar\\mathrm{d}x'")
     return _lines(spark, d).select("l_orderkey", "l_linenumber", X.preprocess_latex(text).alias("latex"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE page_id END AS number FROM pages ORDER BY number NULLS LAST")
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE page_id END AS number FROM pages")
 def file_number_sort(spark, d):
-    stem = F.expr("CASE WHEN page_id % 5 = 0 THEN 'cover' ELSE string(page_id) END")
-    number = stem.try_cast("bigint")
-    return _t(spark, d, "pages").select("page_id", number.alias("number")).orderBy(F.asc_nulls_last("number"))
+    name = F.expr("CASE WHEN page_id % 5 = 0 THEN 'train/cover.json' ELSE 'train/' || page_id || '.json' END")
+    return _t(spark, d, "pages").select("page_id", L.stem_number(name).alias("number")).orderBy(F.asc_nulls_last("number"))
 
 
-@query("SELECT lang, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
+@query("""SELECT doc_id, lang, row_number() OVER (ORDER BY first_id, doc_id) - 1 AS place FROM (SELECT doc_id, lang, min(doc_id) OVER (PARTITION BY lang) AS first_id FROM documents)""")
 def first_seen_regroup(spark, d):
-    return _t(spark, d, "documents").groupBy("lang").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).orderBy("first_id")
+    docs = _t(spark, d, "documents").select("lang", F.col("doc_id").alias("pos"))
+    placed = R.with_position(L.first_seen_order(docs, "lang", keep="first"), ["first", "pos"], "place")
+    return placed.select(F.col("pos").alias("doc_id"), "lang", F.col("place").cast("long").alias("place"))
 
 
-@query("""SELECT count(*) AS total, CAST(sum(n) AS BIGINT) AS theorems, count(*) FILTER (WHERE n > 0) AS with_theorems,
- CAST(sum(n) AS DOUBLE) / count(*) AS average FROM (SELECT CAST(json_extract(props, '$.k') AS BIGINT) % 4 AS n FROM events)""")
+@query("""SELECT count(*) AS problems, count(*) FILTER (WHERE failed) AS failed, CAST(sum(n) AS BIGINT) AS theorems, count(*) FILTER (WHERE n > 0) AS with_theorems,
+ count(*) FILTER (WHERE n = 0) AS without_theorems, avg(n) AS average FROM (SELECT event_id % 7 = 0 AS failed,
+ CASE WHEN event_id % 7 = 0 THEN 0 ELSE CAST(json_extract(props, '$.k') AS BIGINT) % 4 END AS n FROM events)""")
 def theorem_counters(spark, d):
-    n = F.from_json("props", "k long")["k"] % 4
-    events = _t(spark, d, "events").select(F.size(F.array_repeat(F.lit("t"), n.cast("int"))).cast("long").alias("n"))
-    return events.agg(
-        F.count(F.lit(1)).alias("total"), F.sum("n").alias("theorems"), F.count_if(F.col("n") > 0).alias("with_theorems"), F.avg("n").alias("average")
-    )
+    one = F.lit('{"name": "Ohm", "equations": ["U=RI"], "domain": "electricity"}')
+    n = (F.from_json("props", "k long")["k"] % 4).cast("int")
+    reply = F.when(F.col("event_id") % 7 > 0, F.concat(F.lit('{"theorems": ['), F.array_join(F.array_repeat(one, n), ", "), F.lit("]}")))
+    events = _t(spark, d, "events").select(A.parse_theorems(reply).alias("theorems"), F.when(reply.isNull(), "failed").alias("error"))
+    return A.theorem_counters(events, error="error")
 
 
-@query("""SELECT d.doc_id, count(*) AS lines, CAST(max(coalesce(toxic, 0)) AS INT) AS flagged FROM (SELECT doc_id,
- unnest(string_split(text, chr(10))) AS line FROM documents) d LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+@query("""WITH t AS (SELECT doc_id, coalesce(toxic, 0) = 0 AS relevant, coalesce(quality, 0) = 1 AS right_, doc_id % 3 = 0 AS more FROM documents LEFT JOIN labels USING (doc_id))
+SELECT count(*) AS reviewed_theorems, count(*) FILTER (WHERE relevant) AS relevant_theorems, count(*) FILTER (WHERE relevant AND right_) AS correct_equations,
+ count(*) FILTER (WHERE relevant) AS valid_conditions, count(*) FILTER (WHERE more) AS missing_theorems, CAST(1 AS DOUBLE) AS average FROM t""")
 def review_join(spark, d):
-    lines = _t(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    counted = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))  # before the join: fewer rows to move
-    return counted.join(_t(spark, d, "labels"), "doc_id", "left").select("doc_id", "lines", F.coalesce("toxic", F.lit(0)).cast("int").alias("flagged"))
+    docs = _t(spark, d, "documents").select("doc_id").join(_t(spark, d, "labels"), "doc_id", "left")
+    said = F.struct(
+        (F.coalesce("toxic", F.lit(0)) == 0).alias("is_relevant"), (F.coalesce("quality", F.lit(0)) == 1).alias("equations_correct"), F.lit(True).alias("conditions_valid"),
+        *[F.lit("").alias(c) for c in ("relevance_feedback", "equations_feedback", "conditions_feedback")],
+    )
+    found, none = A.parse_theorems(F.lit('{"theorems": [{"name": "Ohm"}]}')), A.parse_theorems(F.lit("{}"))
+    reviewed = A.review_theorems(found, F.array(said), F.when(F.col("doc_id") % 3 == 0, found).otherwise(none))
+    return A.review_counters(docs.select(reviewed.alias("reviewed")))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'optics' WHEN c_nationkey % 3 = 1 THEN 'quantum_mechanics' ELSE 'other' END AS domain
@@ -359,3 +391,121 @@ def annotate_domains(spark, d):
     label = lambda df: A.ask(df, F.col("text"), lambda: A.Stub(reply), "label").withColumn("found", A.parse_domains(F.col("label")))
     done = A.Workflow().add("label", label).run(_t(spark, d, "conversations").select("conv_id", "turn", "text"))
     return done.select("conv_id", "turn", F.col("found.domains").alias("domains"), F.col("trace")[0]["status"].alias("status"))
+
+
+def _typed_answers(spark, d):
+    value = F.expr("CASE r WHEN 0 THEN string(q - 20) WHEN 1 THEN q || '.5' WHEN 2 THEN '$x + ' || q || '$' WHEN 3 THEN 'about ' || q || ' words' WHEN 4 THEN 'b' WHEN 5 THEN 'yes' ELSE 'x = ' || q END")
+    kind = F.expr("element_at(array('number', 'physical_quantity', 'formula', 'text', 'option', 'option', 'equation'), cast(r + 1 AS int))")
+    unit = F.expr("CASE r WHEN 0 THEN '' WHEN 1 THEN 'm' END")
+    return _lines(spark, d).select("l_orderkey", "l_linenumber", Y.answer(value, kind, unit).alias("a"))
+
+
+@query(f"""WITH {_ANSWERS} SELECT l_orderkey, l_linenumber, r < 2 AS numerical, r IN (1, 2, 6) AS symbolic, r < 2 AS with_unit, r = 0 AS whole,
+ r = 1 OR (r = 0 AND q > 20) AS positive, r = 0 AND q < 20 AS negative, r = 2 AS latex, true AS valid FROM lines""")
+def answer_predicates(spark, d):
+    a = F.col("a")
+    return _typed_answers(spark, d).select(
+        "l_orderkey", "l_linenumber", Y.is_numerical(a).alias("numerical"), Y.is_symbolic(a).alias("symbolic"), Y.has_unit(a).alias("with_unit"), Y.is_integer(a).alias("whole"),
+        Y.is_positive(a).alias("positive"), Y.is_negative(a).alias("negative"), Y.is_latex(a).alias("latex"), Y.is_valid(a).alias("valid"),
+    )
+
+
+@query(f"""WITH {_ANSWERS} SELECT l_orderkey, l_linenumber, CASE r WHEN 0 THEN (q - 20) || '' WHEN 1 THEN q || '.5 m' WHEN 2 THEN '$x + ' || q || '$' WHEN 3 THEN 'about ' || q || ' words'
+ WHEN 4 THEN 'b' WHEN 5 THEN 'yes' ELSE 'x = ' || q END AS text, CASE r WHEN 2 THEN 'x + ' || q WHEN 0 THEN (q - 20) || '' WHEN 1 THEN q || '.5' WHEN 3 THEN 'about ' || q || ' words'
+ WHEN 4 THEN 'b' WHEN 5 THEN 'yes' ELSE 'x = ' || q END AS clean, CASE WHEN r = 1 THEN 'm' WHEN r = 0 THEN '' END AS unit, CAST(CASE WHEN r = 3 THEN 3 ELSE 0 END AS BIGINT) AS words,
+ CAST(CASE WHEN r = 3 THEN 12 + length(q || '') ELSE 0 END AS BIGINT) AS chars, r = 3 AS about, CASE WHEN r = 4 THEN CAST(1 AS BIGINT) END AS option, r = 4 AS letter, r = 5 AS yes_no FROM lines""")
+def answer_accessors(spark, d):
+    a = F.col("a")
+    return _typed_answers(spark, d).select(
+        "l_orderkey", "l_linenumber", Y.text_of(a).alias("text"), Y.clean_expression(a).alias("clean"), Y.unit(a).alias("unit"), Y.words(a).alias("words"), Y.chars(a).alias("chars"),
+        Y.contains_keywords(a, ["ABOUT"]).alias("about"), Y.option_index(a).alias("option"), Y.is_letter_option(a).alias("letter"), Y.is_yes_no(a).alias("yes_no"),
+    )
+
+
+def _problem_set(spark, d):
+    """Documents as problems: the answer is a label, a seventh of the predictions is missing."""
+    docs = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left")
+    truth = Y.answer(F.col("quality").cast("string"), "number")
+    problems = docs.select(F.col("doc_id").alias("problem_id"), F.col("lang").alias("domain"), F.col("source").alias("problem_type"), truth.alias("answer"))
+    guesses = _t(spark, d, "documents").where("doc_id % 7 > 0").select(F.col("doc_id").alias("problem_id"), Y.raw(F.lit("1.0")).alias("prediction"))
+    return problems, guesses
+
+
+_STATUS = """s AS (SELECT doc_id, coalesce(lang, 'Unknown') AS domain, coalesce(source, 'unknown') AS problem_type,
+ CASE WHEN quality IS NULL THEN 'no_ground_truth' WHEN doc_id % 7 = 0 THEN 'missing_prediction' ELSE 'success' END AS status,
+ CASE WHEN quality = 1 AND doc_id % 7 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM documents LEFT JOIN labels USING (doc_id))"""
+
+
+@query(f"WITH {_STATUS} SELECT doc_id AS problem_id, status, score FROM s")
+def evaluate_statuses(spark, d):
+    return E.Evaluator("category").evaluate_dataset(*_problem_set(spark, d)).select("problem_id", "status", "score")
+
+
+@query(f"""WITH {_STATUS} SELECT kind, value, coalesce(avg(score) FILTER (WHERE status = 'success'), 0) AS accuracy, count(*) AS total,
+ count(*) FILTER (WHERE status = 'success') AS evaluated, count(*) FILTER (WHERE status <> 'success') AS failed FROM (SELECT *, unnest(['overall', 'domain', 'problem_type']) AS kind,
+ unnest(['', domain, problem_type]) AS value FROM s) GROUP BY 1, 2""")
+def evaluate_summary(spark, d):
+    return E.summary(E.Evaluator("category").evaluate_dataset(*_problem_set(spark, d)))
+
+
+@query("""SELECT doc_id AS problem_id, CASE WHEN lang IS NULL THEN 'extraction_failed' ELSE 'success' END AS status, lang = 'en' AS same, 'text' AS kind
+ FROM documents""")
+def evaluate_extracted(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("problem_id"), "lang", Y.answer(F.lit("en"), "text").alias("answer"))
+    out = E.Evaluator().set_comparator(Y.exact).evaluate_dataset(docs, extract=lambda df: Y.answer(df["lang"], "text"))
+    return out.select("problem_id", "status", F.col("result.comparison_result").alias("same"), F.coalesce("result.details.predicted_type", F.lit("text")).alias("kind"))
+
+
+@query("""SELECT count(*) AS problems, CAST(sum(CASE WHEN turn % 2 = 0 THEN 2 ELSE 0 END) AS BIGINT) AS domains, count(*) FILTER (WHERE turn % 2 = 0) AS several_domains,
+ avg(CASE WHEN turn % 2 = 0 THEN 0.5 ELSE 0 END) AS confidence, min(CASE WHEN turn % 2 = 0 THEN 0.5::DOUBLE ELSE 0::DOUBLE END) AS least, max(CASE WHEN turn % 2 = 0 THEN 0.5::DOUBLE ELSE 0::DOUBLE END) AS greatest FROM conversations""")
+def domain_counters(spark, d):
+    reply = F.when(F.col("turn") % 2 == 0, '{"domains": ["Optics", "typo"], "confidence": 0.5}')
+    return A.domain_counters(_t(spark, d, "conversations").select(A.parse_domains(reply).alias("domain_annotation")))
+
+
+@query("""SELECT conv_id, turn, turn % 3 > 0 AS annotated, CASE WHEN turn % 3 > 0 THEN ['first success', 'second success'] ELSE ['first failed'] END AS trace,
+ CASE WHEN turn % 3 > 0 THEN text END AS second FROM conversations""")
+def workflow_stops(spark, d):
+    def first(df):
+        return df.withColumns({"first": F.lit("x"), "first_error": F.when(F.col("turn") % 3 == 0, "broken")})
+
+    done = A.Workflow().add("first", first).add("second", lambda df: df.withColumn("second", F.col("text"))).run(_t(spark, d, "conversations"))
+    said = F.transform("trace", lambda t: F.concat_ws(" ", t["module_name"], t["status"]))
+    return done.select("conv_id", "turn", "annotated", said.alias("trace"), "second")
+
+
+@query("""SELECT doc_id, CAST(fold AS INT) AS fold, train FROM (SELECT doc_id, CAST(least((row_number() OVER (ORDER BY md5('0|' || CAST(pos AS VARCHAR)), pos) - 1) // greatest(1, n // 5), 4) AS BIGINT) AS f
+ FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)), (VALUES (0), (1), (2), (3), (4)) v(fold), (VALUES (true), (false)) w(train)
+ WHERE (f <> fold) = train""")
+def train_validation(spark, d):
+    docs, out = P.ProblemSet(_t(spark, d, "documents").select("doc_id"), order="doc_id"), None
+    for fold, parts in enumerate(docs.cross_validation(5)):
+        for train, part in zip((True, False), parts, strict=True):
+            own = part.df.select("doc_id", F.lit(fold).alias("fold"), F.lit(train).alias("train"))
+            out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS problem_id, min(pos) AS pos FROM (SELECT l_orderkey,
+ row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem) GROUP BY 1""")
+def ids_in_order(spark, d):
+    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("problem_id"), "l_orderkey", "l_linenumber")
+    return P.ProblemSet(lines, order=["l_orderkey", "l_linenumber"]).ids().select("problem_id", F.col("pos").cast("long").alias("pos"))
+
+
+@query("""SELECT vec_id, 'images/' || vec_id || '.png' AS path, CAST(1 AS BIGINT) AS images FROM embeddings""")
+def split_images(spark, d):
+    rows = _t(spark, d, "embeddings").select("vec_id", F.array(F.unhex(F.lit("89504E470D0A"))).alias("images"))
+    table, files = D.split_images(rows, "vec_id", "images")
+    counted = files.groupBy("path").agg(F.count(F.lit(1)).alias("images"))
+    return table.select("vec_id", F.col("image_paths")[0].alias("path")).join(counted, "path")
+
+
+@query("""SELECT name, CAST(len(variants) AS BIGINT) AS variants, splits[1] AS split FROM (VALUES ('phybench', [1, 2, 3], ['train']), ('phyx', [1], ['test_mini']), ('seephys', [1], ['train']),
+ ('ugphysics', [1, 2], ['test']), ('jeebench', [1], ['test']), ('tpbench', [1], ['public']), ('physreason', [1, 2], ['test'])) v(name, variants, splits)""")
+def dataset_catalogue(spark, d):
+    return H.Hub().catalogue(spark).select("name", F.size("variants").cast("long").alias("variants"), F.col("splits")[0].alias("split"))
+
+
+QUERIES |= golden.QUERIES
+ORACLE_SQL |= golden.ORACLE_SQL

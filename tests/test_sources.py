@@ -28,7 +28,7 @@ def test_loaders(spark, tmp_path):
     assert all(tuple(df.columns) == PROBLEM for df in found.values())
     rows = {n: sorted(df.collect(), key=lambda r: r.problem_id) for n, df in found.items()}
     assert {n: len(r) for n, r in rows.items()} == dict.fromkeys(at, 1) | {"physreason": 2}
-    assert rows["physreason"][1].question == "c\nb?" and rows["seephys"][0].problem_id == "7"
+    assert rows["physreason"][1].question == "c\n\nb?" and rows["seephys"][0].problem_id == "7"
     assert rows["phyx"][0].problem_type == "MC" and rows["jeebench"][0].problem_type == "MultipleMC"
     save(found["phyx"], str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 1
