@@ -35,12 +35,12 @@ from pyspark.sql import types as T
 from .common import bucketed_table, shuffle_partitions, stored_table, unstored
 
 #: Tokens after which a task begins a new block; a document is never cut.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_500_000
 #: Bytes of context.
 CONTEXT = 2
 STRENGTH = 1.0
-#: From this customer on, the customers of one kind are seated in groups of a tenth of those before.
-EXACT = 64
+#: From this customer on, the customers of one kind are seated in groups of a fifth of those before.
+EXACT = 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -55,7 +55,13 @@ def keyed(keys: np.ndarray, salt: int) -> np.ndarray:
 
 
 def uniform(keys: np.ndarray, step: int) -> np.ndarray:
-    return (keyed(keys, step + 1) >> np.uint64(11)) * 2.0**-53
+    """One number in [0, 1) for each key and step; two steps share a hash."""
+    return _half(keyed(keys, step // 2 + 1), step)
+
+
+def _half(hashes: np.ndarray, step: int) -> np.ndarray:
+    part = hashes & np.uint64(0xFFFFFFFF) if step % 2 else hashes >> np.uint64(32)
+    return part * 2.0**-32
 
 
 def binomial(n: np.ndarray, p: np.ndarray, keys: np.ndarray, step: int) -> np.ndarray:
@@ -88,23 +94,27 @@ def seat(customers: np.ndarray, pull: np.ndarray, d: float, keys: np.ndarray) ->
     """Tables of each kind after its customers sat down one by one, drawn by its key; `pull` weighs a new table:
     (strength + discount * all tables) * parent's probability. From the EXACT-th customer on they come in groups, for
     which the chance is averaged, so that frequent kinds take steps as the logarithm of their customers."""
-    tables = (customers > 0).astype(np.int64)
-    seated, step, left = 1, 0, np.flatnonzero(customers > 1)
-    while len(left):
-        group = 1 if seated < EXACT else seated // 10
-        n, own = np.minimum(group, customers[left] - seated), pull[left]
-        others = np.maximum(seated - d * tables[left], 1e-9)
+    order = np.argsort(-customers, kind="stable")  # so that those who still sit down are always the first ones
+    customers, pull, keys = customers[order], pull[order], keys[order].astype(np.uint64)
+    tables, seated, step, hashes = (customers > 0).astype(np.int64), 1, 0, None
+    while left := int(np.searchsorted(-customers, -seated)):  # how many have more customers than are seated
+        group = 1 if seated < EXACT else seated // 5
+        own, t = pull[:left], tables[:left]
+        others = np.maximum(seated - d * t, 1e-9)
         if group == 1:
-            tables[left] += uniform(keys[left], step) < own / (own + others)
+            hashes = keyed(keys[:left], step // 2 + 1) if step % 2 == 0 else hashes[:left]
+            t += _half(hashes, step) * (own + others) < own
         else:
+            n = np.minimum(group, customers[:left] - seated)
             chance = own / (own + others)
             for _ in range(2):  # the tables that the group itself adds count half
                 rest = own + others - 0.5 - d * n * chance / 2
                 chance = np.minimum(own / n * np.log1p(n / rest), 1)
-            tables[left] += binomial(n, chance, keys[left], step)
+            t += binomial(n, chance, keys[:left], step)
         seated, step = seated + group, step + 1
-        left = left[customers[left] > seated]
-    return tables
+    out = np.empty_like(tables)
+    out[order] = tables
+    return out
 
 
 class Spelling:
@@ -167,7 +177,7 @@ class Spelling:
     def words(self, words: pa.Array) -> np.ndarray:
         """Logarithms, since long words have less than the least double."""
         kinds, owner = spelled(words)
-        own, at = np.unique(kinds, return_inverse=True)
+        own, at = distinct(kinds)
         return np.bincount(owner, np.log(self.probability(own))[at], len(words))
 
 
@@ -197,14 +207,40 @@ def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return kinds[inside], np.repeat(np.arange(len(size)), size + 1)
 
 
+def distinct(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As np.unique with the inverse; many kinds are looked up in a table of all, which is faster than sorting them."""
+    if len(kinds) < 100_000:
+        return np.unique(kinds, return_inverse=True)
+    place = np.zeros(1 << 8 * (CONTEXT + 1), np.int32)
+    place[kinds] = 1
+    own = np.flatnonzero(place)
+    place[own] = np.arange(len(own), dtype=np.int32)
+    return own, place[kinds]
+
+
 def pack(values: np.ndarray) -> bytes:
-    """Byte by byte: the first bytes of all values, then the second ones; runs of zeros take no room in a file."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    """Byte by byte: the lowest bytes of all values, then the next ones, as many as the largest value has, which a
+    first byte says. Values aren't negative."""
+    size = values.itemsize
+    if values.dtype.kind in "iu":
+        size = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    return bytes([size]) + np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize)[:, :size].T.tobytes()
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    size, width = data[0], np.dtype(kind).itemsize
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(size, -1)
+    out = np.zeros((planes.shape[1], width), np.uint8)
+    out[:, :size] = planes.T
+    return out.view(kind).ravel()
+
+
+def _packed_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=np.uint64(0)))
+
+
+def _sorted_unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
 def _split(words: bytes) -> list[bytes]:
@@ -244,6 +280,7 @@ def _coded(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFr
         .add("learns", T.ArrayType(T.BooleanType()))
         .add("ids", T.BinaryType())
         .add("words", T.BinaryType())
+        .add("hashes", T.BinaryType())
         .add("counts", T.BinaryType())
     )
 
@@ -266,7 +303,7 @@ def _coded(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFr
                 pa.array([list(doc_ids)], pa.list_(kind)),
                 pa.array([sizes], pa.list_(pa.int32())),
                 pa.array([list(learns)], pa.list_(pa.bool_())),
-                *(pa.array([x], pa.binary()) for x in (pack(ids), b"\n".join([words[k] for k in order]), pack(counts.astype(np.int64)))),
+                *(pa.array([x], pa.binary()) for x in (pack(ids), b"\n".join([words[k] for k in order]), _packed_sorted(hashes[order]), pack(counts.astype(np.int64)))),
             ]
             return pa.RecordBatch.from_arrays(row, names=schema.names)
 
@@ -287,27 +324,42 @@ def _coded(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFr
     return bucketed_table(rows.mapInArrow(code, schema), "block")
 
 
+def _sorted_distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in order, the place of each among them, and where each occurs. Places in the low bits make
+    one sort of numbers do; hashes whose high bits are equal but which differ take the longer way."""
+    n, low = len(hashes), np.uint64(max(1, len(hashes).bit_length()))
+    mask = (np.uint64(1) << low) - np.uint64(1)
+    both = np.sort((hashes & ~mask) | np.arange(n, dtype=np.uint64))
+    at = (both & mask).astype(np.int64)
+    first = np.ones(n, bool)
+    first[1:] = both[1:] >> low != both[:-1] >> low
+    rank = np.cumsum(first) - 1
+    some = at[first]
+    own = hashes[some]
+    place = np.empty(n, np.int64)
+    place[at] = rank
+    if (own[place] != hashes).any():
+        own, place = np.unique(hashes, return_inverse=True)
+        some = np.empty(len(own), np.int64)
+        some[place] = np.arange(n)
+    return own, place, some
+
+
 class Block:
     """A row of the coded documents, with its distinct pairs of tokens in the order of their hashes."""
 
-    def __init__(self, sizes: np.ndarray, ids: bytes, words: bytes):
-        self.sizes, self.ids = sizes.astype(np.int64), unpack(ids, np.int32)
-        self.words, self.hashes = None, _hashes(_split(words))
+    def __init__(self, sizes: np.ndarray, ids: bytes, hashes: bytes):
+        self.sizes, self.ids, self.hashes = sizes.astype(np.int64), unpack(ids, np.int32), _sorted_unpacked(hashes)
         ends = np.cumsum(self.sizes)
         before = np.roll(self.ids, 1)
         before[ends - self.sizes] = self.ids[ends - 1]  # before the first token is the end token, the last one
-        pairs, at = np.unique(before.astype(np.int64) << 32 | self.ids, return_inverse=True)
-        hashes = mixed(self.hashes[pairs >> 32]) + self.hashes[pairs & 0xFFFFFFFF] * np.uint64(0x9E3779B97F4A7C15)
-        hashes = mixed(hashes)
-        order = np.argsort(hashes, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.pairs, self.at = hashes[order], rank[at]
-        self.before, self.word = (pairs >> 32)[order], (pairs & 0xFFFFFFFF)[order]
+        first, second = mixed(self.hashes), self.hashes * np.uint64(0x9E3779B97F4A7C15)
+        self.pairs, self.at, some = _sorted_distinct(mixed(first[before] + second[self.ids]))
+        self.before, self.word = before[some], self.ids[some]
 
     @classmethod
     def of(cls, table: pa.Table | pa.RecordBatch, row: int = 0) -> Block:
-        return cls(table["sizes"][row].values.to_numpy(), table["ids"][row].as_py(), table["words"][row].as_py())
+        return cls(table["sizes"][row].values.to_numpy(), table["ids"][row].as_py(), table["hashes"][row].as_py())
 
 
 _PARTS = "part long, block long, "
@@ -350,26 +402,28 @@ def _pair_counts(coded: DataFrame, parts: int) -> DataFrame:
                 own = Block.of(batch, row)
                 learns = np.repeat(batch["learns"][row].values.to_numpy(zero_copy_only=False), own.sizes)
                 counts = np.bincount(own.at[learns], minlength=len(own.pairs))
-                rows = [(part, pack(np.diff(own.pairs[at], prepend=np.uint64(0))), pack(counts[at])) for part, at in _ranges(own.pairs, parts)]
+                rows = [(part, _packed_sorted(own.pairs[at]), pack(counts[at])) for part, at in _ranges(own.pairs, parts)]
                 block = batch["block"][row].as_py()
                 yield pa.RecordBatch.from_pylist([{"part": p, "block": block, "pairs": h, "counts": c} for p, h, c in rows])
 
     def merge(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("block")
-        pairs = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in rows["pairs"].to_pylist()]
+        pairs = [_sorted_unpacked(x) for x in rows["pairs"].to_pylist()]
         counts = np.concatenate([unpack(x, np.int64) for x in rows["counts"].to_pylist()])
         ends = np.cumsum([len(x) for x in pairs])
-        own, first, at = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
+        own, at = np.unique(np.concatenate(pairs), return_inverse=True)
+        speaks = np.empty(len(own), np.int64)
+        speaks[at] = np.arange(len(at))
         total = np.bincount(at, counts).astype(np.int64)
         heard = total[at] * 2
-        heard[first] += 1
+        heard[speaks] += 1
         blocks = [None, *rows["block"].to_pylist()]
         few = np.array([(total == 1).sum(), (total == 2).sum()])
         data = [pack(few), *map(pack, np.split(heard, ends[:-1]))]
         return pa.table([[rows["part"][0].as_py()] * len(data), blocks, data], schema=out)
 
     out = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
-    sent = coded.select("block", "sizes", "learns", "ids", "words").mapInArrow(cut, _PARTS + "pairs binary, counts binary")
+    sent = coded.select("block", "sizes", "learns", "ids", "hashes").mapInArrow(cut, _PARTS + "pairs binary, counts binary")
     return stored_table(sent.groupBy("part").applyInArrow(merge, _PARTS + "data binary"), "zstd")
 
 
@@ -399,16 +453,16 @@ def _lexicon_of(rows: pa.Table) -> tuple[pa.Array, np.ndarray, list[tuple[int, n
     return words, total, each
 
 
-def _values(lexicon: DataFrame, states: DataFrame, levels: list[Level]) -> DataFrame:
-    """For each block, range and sweep: the logarithms of its words' probabilities, the tables after them, and how
-    often they occur in training."""
-    shared = lexicon.sparkSession.sparkContext.broadcast({x.sweep: x for x in levels})
+def _values(lexicon: DataFrame, state: DataFrame, level: Level) -> DataFrame:
+    """For each block and range after a sweep: the logarithms of its words' probabilities, the tables after them, and
+    how often they occur in training."""
+    shared = lexicon.sparkSession.sparkContext.broadcast(level)
 
     def value(known: pa.Table, states: pa.Table) -> pa.Table:
         words, total, each = _lexicon_of(known)
         rows = []
         for state in states.to_pylist() if len(words) else []:
-            level = shared.value[state["sweep"]]
+            level = shared.value
             customers, tables, after = (unpack(state[c], np.int64) for c in ("customers", "tables", "after"))
             chance = level.chance(level.spelling.words(words), customers, tables).astype(np.float32)
             for block, at in each:
@@ -418,12 +472,16 @@ def _values(lexicon: DataFrame, states: DataFrame, levels: list[Level]) -> DataF
     names = ["block", "part", "sweep", "data", "after", "total"]
     out = pa.schema(list(zip(names, [pa.int64()] * 3 + [pa.binary()] * 3, strict=True)))
     kinds = "block long, part long, sweep long, data binary, after binary, total binary"
-    return lexicon.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(value, kinds)
+    return lexicon.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(value, kinds)
+
 
+#: Stands for the sweep in rows with the counts of pairs; below it are the tables of pairs after a sweep.
+PAIRS = -1
 
-def _received(rows: pa.Table, sweep: int | None, column: str, kind: type) -> np.ndarray:
-    """What the ranges sent to a block, in the order of its words or, without a sweep, of its pairs."""
-    rows = rows.filter(pc.equal(rows["sweep"], -1 if sweep is None else sweep)).sort_by("part")
+
+def _received(rows: pa.Table, sweep: int, column: str, kind: type) -> np.ndarray:
+    """What was sent to a block, in the order of its words or of its pairs."""
+    rows = rows.filter(pc.equal(rows["sweep"], sweep)).sort_by("part")
     return np.concatenate([np.empty(0, kind), *(unpack(x, kind) for x in rows[column].to_pylist())])
 
 
@@ -439,20 +497,23 @@ def _pair_tables(own: Block, count: np.ndarray, received: pa.Table, sweep: int,
 
 
 def _sums(coded: DataFrame, sent: DataFrame, sweep: int, d: float, parts: int) -> DataFrame:
-    """For each range and block: tables after its words and tables that end in them, of the pairs it speaks for."""
+    """For each range and block: tables after its words and tables that end in them, of the pairs it speaks for. For
+    each block: the tables of its pairs (no range)."""
 
     def add(texts: pa.Table, received: pa.Table) -> pa.Table:
         rows = []
         if texts.num_rows:
-            own, heard = Block.of(texts), _received(received, None, "data", np.int64)
-            tables = _pair_tables(own, heard >> 1, received, sweep, d) * (heard & 1)
-            after, within = (np.bincount(x, tables, len(own.hashes)).astype(np.int64) for x in (own.before, own.word))
-            rows = [(part, texts["block"][0].as_py(), pack(after[at]), pack(within[at])) for part, at in _ranges(own.hashes, parts)]
-        return pa.table(list(zip(*rows, strict=True)) or [[]] * 4, schema=out)
+            own, heard, block = Block.of(texts), _received(received, PAIRS, "data", np.int64), texts["block"][0].as_py()
+            tables = _pair_tables(own, heard >> 1, received, sweep, d)
+            after, within = (np.bincount(x, tables * (heard & 1), len(own.hashes)).astype(np.int64) for x in (own.before, own.word))
+            rows = [(part, block, pack(after[at]), pack(within[at]), None) for part, at in _ranges(own.hashes, parts)]
+            rows += [(None, block, None, None, pack(tables))] if sweep else []
+        return pa.table(list(zip(*rows, strict=True)) or [[]] * 5, schema=out)
 
-    out = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("after", pa.binary()), ("within", pa.binary())])
-    texts = coded.select("block", "sizes", "ids", "words")
-    return texts.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(add, _PARTS + "after binary, within binary")
+    out = pa.schema([("part", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("after", "within", "tables"))])
+    texts = coded.select("block", "sizes", "ids", "hashes")
+    sums = texts.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(add, _PARTS + "after binary, within binary, tables binary")
+    return stored_table(sums, "zstd")
 
 
 def _seated(lexicon: DataFrame, sums: DataFrame, sweep: int, level: Level | None) -> DataFrame:
@@ -486,7 +547,7 @@ EATERS, TABLES, ONES, TWOS, TOKENS, DISTINCT = range(-6, 0)
 def kind_counts(words: pa.Array, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The kinds that the tables of these words spell, and how often."""
     found, owner = spelled(words)
-    own, at = np.unique(found, return_inverse=True)
+    own, at = distinct(found)
     return own, np.bincount(at, tables[owner], len(own)).astype(np.int64)
 
 
@@ -545,14 +606,17 @@ def lm_scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_co
     few = [unpack(r[0], np.int64) for r in pairs.where("block IS NULL").select("data").toLocalIterator()]
     pair_d = discount(*np.sum([np.zeros(2), *few], axis=0))
     heard = pairs.where("block IS NOT NULL").select("block", "part", F.lit(-1).cast("long").alias("sweep"), "data")
-    states, levels, sent = None, [], heard
+    levels, sent, averaged = [], heard, heard
     for sweep in range(sweeps + 1):
-        state = _seated(lexicon, _sums(coded, sent, sweep, pair_d, parts), sweep, levels[-1] if levels else None)
-        states = state if states is None else states.unionByName(state)
+        sums = _sums(coded, sent, sweep, pair_d, parts)
+        state = _seated(lexicon, sums.where("part IS NOT NULL").drop("tables"), sweep, levels[-1] if levels else None)
         level, n, distinct = _level(lexicon, state, sweep)
         levels.append(level)
-        sent = heard.unionByName(_values(lexicon, state, levels[-1:]), allowMissingColumns=True)
-    sent = heard.unionByName(_values(lexicon, states, levels), allowMissingColumns=True)
+        values = stored_table(_values(lexicon, state, level), "zstd")
+        sent = heard.unionByName(values, allowMissingColumns=True)
+        if sweep:
+            own = sums.where("part IS NULL").select("block", F.lit(0).cast("long").alias("part"), F.lit(PAIRS - sweep).cast("long").alias("sweep"), F.col("tables").alias("data"))
+            averaged = averaged.unionByName(own, allowMissingColumns=True).unionByName(values, allowMissingColumns=True)
     unknown = _left_over(lexicon, levels[1:])
     schema = (
         T.StructType().add("doc_id", coded.schema["doc_ids"].dataType.elementType).add("n_tokens", T.LongType())
@@ -561,25 +625,27 @@ def lm_scores(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_co
     )
 
     def score(texts: pa.Table, received: pa.Table) -> pa.Table:
-        own, count = Block.of(texts), _received(received, None, "data", np.int64) >> 1
-        total = _received(received, 0, "total", np.int64)
-        outcomes = [np.full(len(count), -np.inf) for _ in range(2)]
+        own, count = Block.of(texts), _received(received, PAIRS, "data", np.int64) >> 1
+        total = _received(received, 1, "total", np.int64)
+        sums, most = np.zeros((2, len(count))), np.full(len(count), -np.inf)
         for sweep, rest in enumerate(unknown, 1):
             chance, after = (_received(received, sweep, c, k) for c, k in (("data", np.float32), ("after", np.int64)))
-            tables = _pair_tables(own, count, received, sweep, pair_d)
-            back = np.log(STRENGTH + pair_d * after[own.before])
-            with np.errstate(divide="ignore"):
-                sits = np.log(count - pair_d * tables)
+            sits = count - pair_d * _received(received, PAIRS - sweep, "data", np.int64)
+            back = STRENGTH + pair_d * after[own.before]
             spelt = chance.astype(np.float64)
             for k, x in enumerate((np.where(total > 0, spelt, rest), spelt)):
-                outcomes[k] = np.logaddexp(outcomes[k], np.logaddexp(sits, back + x[own.word]))
-        given = [(x - np.log(sweeps) - np.log(STRENGTH + total[own.before])) / np.log(10) for x in outcomes]
+                sums[k] += sits + back * np.exp(x)[own.word]
+            most = np.maximum(most, np.log(back) + spelt[own.word])  # where long words have less than the least double
+        with np.errstate(divide="ignore"):
+            outcomes = np.maximum(np.log(sums), most)
+        given = (outcomes - np.log(sweeps) - np.log(STRENGTH + total[own.before])) / np.log(10)
         base = np.log10((total + 1) / (n + distinct + 1))
         owner = np.repeat(np.arange(len(own.sizes)), own.sizes)
-        sums = [np.bincount(owner, x, len(own.sizes)) for x in ((total > 0)[own.ids], base[own.ids], *(x[own.at] for x in given))]
+        sums = [np.bincount(owner, x, len(own.sizes)) for x in ((total > 0)[own.ids], base[own.ids], *given[:, own.at])]
         return pa.table(
             [texts["doc_ids"].combine_chunks().flatten(), pa.array(own.sizes), pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(own.sizes), n)), *map(pa.array, sums[1:])],
             names=schema.names,
         )
 
-    return coded.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(score, schema)
+    texts = coded.select("block", "doc_ids", "sizes", "ids", "hashes")
+    return texts.groupBy("block").cogroup(averaged.groupBy("block")).applyInArrow(score, schema)
