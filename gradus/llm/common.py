@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +48,16 @@ def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
+def place_among(cuts: Sequence[int], value: Column) -> Column:
+    """How many of the sorted cuts are at or below the value, by a binary search in a constant array."""
+    if not cuts:
+        return F.lit(0)
+    listed = F.lit(list(cuts))
+    steps = F.lit([1 << k for k in reversed(range(len(cuts).bit_length()))])
+    further = lambda at, step: F.when(F.get(listed, at + step - 1) <= value, at + step).otherwise(at)
+    return F.aggregate(steps, F.lit(0), further)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

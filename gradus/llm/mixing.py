@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, non_null_id, shuffle_partitions, stored, stored_table
+from .common import broadcast_if_small, non_null_id, place_among, shuffle_partitions, stored, stored_table
 
 
 def pfair(weights: list[int]) -> list[list[int]]:
@@ -47,6 +47,7 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     carry: Sequence[str] = (),
+    max_slots: int = 1_000_000,
 ) -> DataFrame:
     """One row per input row: doc_id, source, block (from 0 in its source), slot, release, deadline, place, then
     `carried`, a struct of the columns named in `carry`, if there are any.
@@ -55,8 +56,8 @@ def mix(
     and orders a block's documents. A document belongs to the block in which its first character falls. Every row
     stays. Sources that `weights` doesn't name have the default weight; weights are positive integers. A null source
     is a source of its own. Rows that repeat an identifier are ordered by length; a null text has no characters and a
-    null identifier sorts first. An empty table gives an empty result; other columns are ignored. The number of
-    sources times their weights must fit the driver.
+    null identifier sorts first. An empty table gives an empty result; other columns are ignored. The driver works
+    out one period; if that has more than `max_slots` slots (the sum of the sources' weights), it is an error.
     """
     weights = weights or {}
     if min([default_weight, *weights.values()]) < 1:
@@ -73,14 +74,18 @@ def mix(
     parts = shuffle_partitions(spark)
     cuts = narrow.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
     cuts = sorted(set(cuts))
-    part = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
-    keys = {"part": part, "key": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))}
+    keys = {"part": place_among(cuts, F.col("id")), "key": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))}
     rows, narrow = rows.withColumns(keys), narrow.withColumns(keys)
     sums = narrow.groupBy("key", "part").agg(F.sum("chars").alias("sum"), F.first("source").alias("source"))
     before = W.partitionBy("key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     sums = stored(sums.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))).drop("sum"))
-    found = sorted(sums.select("key", "source").distinct().collect())
+    each = stored(sums.groupBy("key").agg(F.first("source").alias("source")))
+    if each.count() > max_slots:
+        raise ValueError(f"more than {max_slots} sources")
+    found = sorted(each.collect())
     units = [default_weight if r.source is None else weights.get(r.source, default_weight) for r in found]
+    if sum(units) > max_slots:
+        raise ValueError(f"a period has {sum(units)} slots, more than {max_slots}")
     slots, period = pfair(units), sum(units)
     pattern = spark.createDataFrame(
         [(r.key, units[i], k, slot) for i, r in enumerate(found) for k, slot in enumerate(slots[i])],
