@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import non_null_id, shuffle_partitions, stored, whole
+from .common import non_null_id, place_among, shuffle_partitions, stored, whole
 
 #: Bytes that decide about a boundary, and bits of their hash that must be zero: chunks of 32 bytes on average.
 WINDOW, BITS = 8, 5
@@ -27,7 +27,7 @@ _GEAR = np.frombuffer(hashlib.shake_128(b"gear").digest(1024), np.uint32)
 _BLANKS = re.compile(rb"[\x20\x09-\x0D]+")
 #: One chunk in a fingerprint: digest and length.
 _CHUNK = np.dtype([("digest", "<u4"), ("bytes", "<u2")])
-#: No chunk is longer, which a length of two bytes needs.
+#: The longest chunk; where the text has no boundary for as many bytes, as in a long run of one byte, a chunk ends there.
 MOST = 4096
 
 
@@ -102,11 +102,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     wanted = [k / parts for k in range(1, parts)] or [0.5]
     cuts = rows.agg(F.percentile_approx("id", wanted, 100 * parts)).first()[0] or []
     cuts = sorted(set(cuts))
-    place = F.lit(0)
-    if cuts:  # the number of cuts at or below the identifier, by a search in a constant array
-        listed = F.lit(cuts)
-        place = F.size(F.filter(listed, lambda c: c <= F.col("id")))
-    rows = rows.withColumn("range", place.cast("long"))
+    rows = rows.withColumn("range", place_among(cuts, F.col("id")).cast("long"))
     # Of rows that repeat the range's least identifier the first by text is the one that another range is followed by.
     heads = stored(rows.groupBy("range").agg(F.min("id").alias("id")))
     ranges = sorted((r[0], r[1]) for r in heads.collect())
