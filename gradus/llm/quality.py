@@ -104,18 +104,61 @@ def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(measure, schema)
 
 
-def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", **how: float) -> Discriminant:
-    """Moments of all labelled rows, summed in Spark: what reaches the driver has the size of a covariance matrix."""
+#: Shrinkages to choose from, and the folds of the training rows that choose.
+SHRINKS = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
+FOLDS = 4
+Moments = dict[int, tuple[float, np.ndarray, np.ndarray]]
+
+
+def _moments(labelled: DataFrame) -> dict[int, Moments]:
+    """By fold and label the count, sums and sums of products, summed in Spark: what reaches the driver has the size of
+    a covariance matrix."""
     size = len(FEATURES)
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
     item = [F.get("stats", F.lit(i)) for i in range(size)]
     sums = [F.sum(x) for x in item] + [F.sum(item[i] * item[j]) for i in range(size) for j in range(i, size)]
-    moments = {}
-    for row in stats.join(known, "doc_id").groupBy("label").agg(F.count(F.lit(1)), *sums).collect():
+    moments: dict[int, Moments] = {}
+    for row in labelled.groupBy("fold", "label").agg(F.count(F.lit(1)), *sums).collect():
         upper = np.zeros((size, size))
-        upper[np.triu_indices(size)] = row[2 + size :]
-        moments[row[0]] = (row[1], np.array(row[2 : 2 + size]), upper + np.triu(upper, 1).T)
-    return Discriminant(moments, **how)
+        upper[np.triu_indices(size)] = row[3 + size :]
+        moments.setdefault(row[0], {})[row[1]] = (row[2], np.array(row[3 : 3 + size]), upper + np.triu(upper, 1).T)
+    return moments
+
+
+def _sum(parts: list[Moments]) -> Moments:
+    found: Moments = {}
+    for part in parts:
+        for label, own in part.items():
+            found[label] = tuple(x + y for x, y in zip(found[label], own, strict=True)) if label in found else own
+    return found
+
+
+def log_loss(score: np.ndarray, label: np.ndarray) -> float:
+    right = np.where(label == 1, score, 1 - score)
+    return float(-np.log(np.clip(right, 1e-12, 1)).sum())
+
+
+def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", shrink: float | None = None) -> Discriminant:
+    """Learn from all labelled rows. Without a given shrinkage the one is taken that has the least log loss over the
+    folds of these rows, each scored by a model of the others; of equal ones the largest."""
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
+    fold = F.pmod(F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 5), F.lit(FOLDS)).cast("int")
+    labelled = stored(stats.join(known, "doc_id").select("stats", "label", fold.alias("fold")))
+    moments = _moments(labelled)
+    whole_ = _sum(list(moments.values()))
+    if shrink is not None:
+        return Discriminant(whole_, shrink)
+    models = {k: [Discriminant(_sum([m for j, m in moments.items() if j != k]), x) for x in SHRINKS] for k in moments}
+
+    def lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            label, own = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            loss = [sum(log_loss(models[k][i].score(x[own == k]), label[own == k]) for k in np.unique(own)) for i in range(len(SHRINKS))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(SHRINKS)), pa.int32()), pa.array(loss, pa.float64())], names=["at", "loss"])
+
+    losses = labelled.mapInArrow(lose, "at int, loss double").groupBy("at").agg(F.sum("loss").alias("loss")).collect()
+    best = min(losses, key=lambda r: (round(r.loss, 6), -r["at"]), default=None)
+    return Discriminant(whole_, SHRINKS[best["at"]] if best else SHRINKS[-1])
 
 
 def quality(
@@ -129,7 +172,8 @@ def quality(
 ) -> DataFrame:
     """One row per input row: doc_id, score (0 to 1), predicted (1 where score >= threshold).
 
-    Labels are taken from rows of `labels` where `train`, a condition on its identifier, holds. Whole texts are
+    Labels are taken from rows of `labels` where `train`, a condition on its identifier, holds; those rows also choose
+    the shrinkage, by folds. Whole texts are
     measured; null and empty texts have the statistics of an empty text and a score like any other. Without labels of
     both classes the score is the share of label 1 (0.5 without any). A document that is labelled twice counts twice;
     null and repeated identifiers are given back as they are. An empty table gives an empty result; other columns are
