@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import broadcast_if_small, stored
 from .prefix_bpe import Memo
 
 #: Runs of letters (and of the few numerals that count as alphanumeric but aren't digits).
@@ -92,14 +93,32 @@ class Scorer:
 
 def fit(docs: DataFrame, train: Column, *, per_language: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> WordFirst:
     """Learn from at most `per_language` whole documents of each language, those of the least hashes among the rows
-    where `train` holds and the language isn't null; a bounded sample, so that the model stays small. Words are
-    counted in Spark."""
+    where `train` holds and the language isn't null; a bounded sample, so that the model stays small. Rows that repeat
+    identifier, language and text count once. Words are counted in Spark; without training rows the model is empty.
+
+    Hashes are ranked without texts, and only those below a bound of the language that leaves about four times as many
+    as are wanted; if repeated rows leave fewer than wanted, all are ranked.
+    """
     rows = docs.where(train & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("at")
     )
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("at"))
-    sample = rows.withColumn("nth", nth).where(F.col("nth") <= per_language)
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
+    keys = rows.select("lang", "at", F.xxhash64("text").alias("version"))
+    sizes = stored(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    share = F.least(4.0 * per_language / F.col("n"), F.lit(1.0))
+    few = keys.join(broadcast_if_small(sizes), "lang").where(F.col("at").cast("double") * 2.0**-64 + 0.5 <= share)
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("at", "version"))
+
+    def least(keys: DataFrame) -> DataFrame:
+        distinct = keys.select("lang", "at", "version").distinct()
+        return stored(distinct.withColumn("nth", nth).where(F.col("nth") <= per_language).drop("nth"))
+
+    sample = least(few)
+    found = sample.groupBy("lang").agg(F.count(F.lit(1)).alias("found"))
+    if not sizes.join(found, "lang", "left").where(F.coalesce("found", F.lit(0)) < F.least("n", F.lit(per_language))).isEmpty():
+        sample = least(keys)
+    taken = rows.withColumn("version", F.xxhash64("text")).join(broadcast_if_small(sample), ["lang", "at", "version"])
+    taken = taken.dropDuplicates(["lang", "at", "version"])
+    words = taken.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
     counts: dict[str, Counter] = {}
     for lang, word, n in words.groupBy("lang", "word").count().toLocalIterator():
         counts.setdefault(lang, Counter())[word] = n
@@ -116,15 +135,19 @@ def language_id(
     languages are `und` with score 0. Null and repeated identifiers are given back as they are. An empty table gives
     an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("scored"), *carry)
+    # A text that is carried goes to Python once.
+    once = text_col in carry and docs.schema[text_col].dataType == T.StringType()
+    others = [c for c in carry if not (once and c == text_col)]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("scored"), *others)
     schema = T.StructType(
         [
             T.StructField("doc_id", rows.schema["doc_id"].dataType),
             T.StructField("lang_pred", T.StringType()),
             T.StructField("score", T.DoubleType()),
-            *rows.schema.fields[2:],
+            *(docs.schema[c] for c in carry),
         ]
     )
+    place = {c: k for k, c in enumerate(others, 2)} | ({text_col: 1} if once else {})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +159,7 @@ def language_id(
                     batch.column(0),
                     pa.array([x[0] for x in found], pa.string()),
                     pa.array([x[1] for x in found], pa.float64()),
-                    *batch.columns[2:],
+                    *(batch.column(place[c]) for c in carry),
                 ],
                 names=schema.names,
             )
