@@ -162,30 +162,32 @@ def ngram_jaccard(
     percent: int = 90,
     width: int = 5,
     region: int = 32,
+    decide: bool = False,
 ) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, n_similar, component_id.
+    """One row per input row: doc_id, n_shingles, n_similar, component_id, and if asked to `decide` kept and version.
 
     Words are runs without ASCII white space, A-Z lower-cased. A set holds the distinct `width`-word shingles, of
     fewer words their whole sequence; null, empty and blank texts have an empty set and link with nothing. Two rows
     link when 100 * intersection >= percent * union. n_similar counts the other rows linked directly, component_id is
-    the smallest identifier reachable. Rows that repeat an identifier count as documents of their own. A null
-    identifier counts as the smallest and is given back as null. Every link is found, at any size of group. An empty
+    the smallest identifier reachable. `kept` holds for one row of each component, one of those with the smallest
+    identifier, and for rows with an empty set; `version` is a hash of the text. Rows that repeat an identifier count
+    as documents of their own. A null identifier counts as the smallest and is given back as null. Every link is found, at any size of group. An empty
     table gives an empty result; other columns are ignored.
     """
     bands, parts = Bands(percent), shuffle_partitions(docs.sparkSession)
     rows = whole(docs, id_col, text_col).select(
-        non_null_id().alias("id"), "text", F.monotonically_increasing_id().alias("row")
+        non_null_id().alias("id"), "text", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("version")
     )
     rows = _sets(rows, width).withColumn("band", F.explode(bands.of(F.col("n"))))
     first = F.col("band") == F.element_at(bands.of(F.col("n")), 1)
     table = stored_table(
-        _signatures(rows, bands).select("row", "id", "n", "d1", "d2", first.alias("first"), "signatures")
+        _signatures(rows, bands).select("row", "id", "version", "n", "d1", "d2", first.alias("first"), "signatures")
     )
     # Classes of equal sets. A class may hold a third of all rows, so it is counted in parts before it is joined.
-    mine = table.where("first").select("row", "id", "n", "d1", "d2", F.pmod("row", F.lit(parts)).alias("part"))
+    mine = table.where("first").select("row", "id", "version", "n", "d1", "d2", F.pmod("row", F.lit(parts)).alias("part"))
     split = stored(
         mine.groupBy("d1", "d2", "part").agg(
-            F.min("row").alias("row"), F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n")
+            F.min("row").alias("row"), F.min(F.struct("id", "row")).alias("id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n")
         )
     )
     classes = stored_table(
@@ -218,7 +220,7 @@ def ngram_jaccard(
         needed = candidates.select(F.explode(F.array("a", "b")).alias("node")).union(many).distinct()
     else:
         needed = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = stored(classes.join(needed, "node").select("node", "id", "d1", "d2"))
+    chosen = stored(classes.join(needed, "node").select("node", "id.id", "d1", "d2"))
     texts = whole(docs, id_col, text_col).select(non_null_id().alias("id"), "text")
     texts = texts.join(broadcast_if_small(chosen.toDF("node", "id", "e1", "e2"), 200_000), "id")
     sets = _sets(texts, width).where("d1 = e1 AND d2 = e2").dropDuplicates(["node"])
@@ -251,11 +253,12 @@ def ngram_jaccard(
     )
     # Back to the rows by way of the parts, of which no class has more than there are partitions.
     labelled = split.select("d1", "d2", "part").join(result, ["d1", "d2"])
-    out = mine.select("id", "n", "d1", "d2", "part").join(labelled, ["d1", "d2", "part"])
+    out = mine.join(labelled, ["d1", "d2", "part"])
     real = lambda c: F.when(c != F.lit(-(2**63)), c)
     return out.select(
         real(F.col("id")).alias("doc_id"),
         F.col("n").cast("long").alias("n_shingles"),
         F.col("similar").cast("long").alias("n_similar"),
-        real(F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least"))).alias("component_id"),
+        real(F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least.id"))).alias("component_id"),
+        *([((F.col("n") == 0) | (F.col("row") == F.col("least.row"))).alias("kept"), "version"] if decide else []),
     )

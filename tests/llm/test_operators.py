@@ -474,6 +474,305 @@ def test_lm_scores_are_the_model(table, monkeypatch, tokens):
         assert have == (i, pytest.approx(score, abs=1e-3))
 
 
+def brute_quality(text):
+    """The statistics written out once more, character by character."""
+    data = (text or "").encode()
+    words, lines, n = data.split(), data.split(b"\n"), max(1, len(data))
+    count = Counter(data)
+    letters = [b for b in count if chr(b).isalpha() and b < 128 or b >= 128]
+    blanks, plain = b" \t\n\r\x0b\x0c", b".,;:'\"-!?"
+    share = lambda test: math.sqrt(sum(k for b, k in count.items() if test(b)) / n)
+    mark = lambda b: not (48 <= b <= 57 or b in letters or b in blanks)
+    many, longest = max(1, len(words)), max(lines.count(x) * len(x) for x in set(lines))
+    return [
+        math.log1p(len(data)), math.log1p(len(words)), math.log1p(sum(map(len, words)) / many), share(lambda b: 65 <= b <= 90),
+        share(lambda b: 48 <= b <= 57), share(lambda b: mark(b) and b in plain), share(lambda b: mark(b) and b not in plain),
+        share(lambda b: b >= 128), math.log1p(len(data) / len(lines)), math.sqrt(len(set(words)) / many), math.sqrt(len(set(lines)) / len(lines)),
+        math.sqrt(longest / n), math.sqrt(sum(w.istitle() for w in words) / many), math.sqrt(sum(count[b] for b in b".!?") / many),
+        -sum(k / n * math.log2(k / n) for k in count.values()),
+    ]
+
+
+def test_quality_is_the_discriminant(table, spark):
+    import numpy as np
+
+    from gradus.llm import quality as Q
+    from gradus.llm.common import crc_mod
+
+    docs, labels = junk_and_prose(table, spark)
+    stats = {r.doc_id: r.stats for r in Q.document_statistics(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i, own in stats.items():
+        if i != 9:
+            assert own == pytest.approx(brute_quality(texts[i]), abs=1e-9)
+    train = [(r.doc_id, r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+
+    def fitted(rows, shrink, ridge=0.05):
+        x, y = np.array([stats[i] for i, _ in rows]), np.array([q for _, q in rows])
+        cov = {k: np.cov(x[y == k].T, bias=True) for k in (0, 1)}
+        pooled = sum((y == k).mean() * cov[k] for k in (0, 1))
+        pooled = (1 - ridge) * pooled + ridge * np.diag(np.diag(pooled)) + 1e-6 * np.eye(len(pooled))
+
+        def score(i):
+            logs = []
+            for k in (0, 1):
+                own = shrink + (1 - shrink) * len(pooled) / (len(pooled) + (y == k).sum())
+                c, gap = (1 - own) * cov[k] + own * pooled, np.array(stats[i]) - x[y == k].mean(axis=0)
+                logs.append(math.log((y == k).mean()) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * gap @ np.linalg.solve(c, gap))
+            return 1 / (1 + math.exp(min(500, max(-500, logs[0] - logs[1]))))
+
+        return score
+
+    fold = lambda i: zlib.crc32(str(i).encode()) // 5 % Q.FOLDS
+    losses = {}
+    for shrink in Q.SHRINKS:
+        own = 0.0
+        for k in range(Q.FOLDS):
+            score = fitted([r for r in train if fold(r[0]) != k], shrink)
+            own -= sum(math.log(max(1e-12, score(i) if q else 1 - score(i))) for i, q in train if fold(i) == k)
+        losses[shrink] = own
+    score = fitted(train, min(losses, key=lambda x: (round(losses[x], 6), -x)))
+    for r in Q.quality(docs, labels, crc_mod(5) != 0).collect():
+        if r.doc_id != 9:
+            assert r.score == pytest.approx(score(r.doc_id), abs=1e-6)
+
+
+def brute_language(rows, learns, per_language=500):
+    """Word-first backoff with dictionaries: {id: (language, score)}; the sample holds all rows."""
+    words_of = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    langs = sorted({x for i, _, x in rows if learns(i) and x is not None})
+    count = {x: Counter(w for i, t, y in rows if learns(i) and y == x for w in words_of(t)) for x in langs}
+    docs = {x: sum(learns(i) and y == x for i, _, y in rows) for x in langs}
+
+    def pieces(word, n):
+        full = f"^{word}$" if n > 1 else word
+        return [full[k : k + n] for k in range(len(full) - n + 1)]
+
+    tables = [count] + [{x: Counter({}) for x in langs} for _ in range(5)]
+    for n in range(1, 6):
+        for x in langs:
+            for w, k in count[x].items():
+                for g in pieces(w, n):
+                    tables[n][x][g] += k
+    known = [set().union(*t.values()) if langs else set() for t in tables]
+
+    def chance(table, key):
+        return [math.log((tables[table][x][key] + 0.5) / (sum(tables[table][x].values()) + 0.5 * len(known[table]))) for x in langs]
+
+    def one(word):
+        if word in known[0]:
+            return chance(0, word)
+        for n in range(5, 0, -1):
+            if found := [chance(n, g) for g in pieces(word, n) if g in known[n]]:
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+        return [0.0] * len(langs)
+
+    def predict(text):
+        if not langs or not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        total = [math.log(docs[x] / sum(docs.values())) for x in langs]
+        for w in words_of(text):
+            total = [a + b for a, b in zip(total, one(w), strict=True)]
+        best = max(range(len(langs)), key=lambda k: total[k])
+        return langs[best], 1 / sum(math.exp(x - total[best]) for x in total)
+
+    return predict
+
+
+def test_language_id_is_word_first(table, monkeypatch):
+    from hard_rows import LONG
+
+    from gradus.llm.language_id import fit, language_id
+
+    rng = random.Random(21)
+    words = {"en": ["the", "stone", "walks", "light"], "de": ["der", "stein", "geht", "licht"], "fr": ["le", "pierre", "marche", "éclat"]}
+    rows = [(i, " ".join(rng.choices(words[x], k=rng.randint(1, 9))), x, "s") for i in range(80) for x in [rng.choice(list(words))]]
+    rows += [(200, "steinlicht pierr Unbekannt the", None, "s"), (201, LONG, "en", "s"), (202, "xyz", None, "s"), (203, "", "de", "s")]
+    learns = lambda i: i is not None and i % 3 != 1
+    predict = brute_language([(r[0], r[1], r[2]) for r in rows], learns)
+    docs = table(rows)
+    for r in language_id(docs, fit(docs, F.col("doc_id") % 3 != 1), carry=["text", "source"]).collect():
+        lang, score = predict(r.text)
+        assert (r.lang_pred, r.score, r.source) == (lang, pytest.approx(score, abs=1e-9), "s")
+
+
+def test_language_sample_is_bounded_and_repeatable(table):
+    from gradus.llm.language_id import fit
+
+    rows = [(i, f"word{chr(97 + i % 26)} common", "en", "s") for i in range(300)]
+    few = lambda docs: fit(docs, F.lit(True), per_language=10)
+    one, other = few(table(rows)), few(table(rows[::-1]).repartition(5))
+    assert one.words == other.words and 1 < len(one.words) <= 11
+    same = table([(7, "one text", "en", "s")] * 500 + [(8, "another text", "en", "s")])
+    assert set(few(same).words) == {"one", "another", "text"}  # repeated rows count once, and hide no others
+
+
+def test_fingerprints_are_the_chunks(table):
+    import base64
+
+    import xxhash
+
+    from gradus.llm import fingerprints as P
+
+    def chunks(text):
+        data, ends, begin = re.sub(rb"[\x20\x09-\x0D]+", b" ", text.encode().lower()).strip(), [], 0
+        for k in range(1, len(data)):
+            own = data[max(0, k - P.WINDOW) : k]
+            h = sum(int(P._GEAR[b]) << (len(own) - 1 - j) for j, b in enumerate(own)) & 0xFFFFFFFF
+            if h >> 32 - P.BITS == 0 or k - begin == P.MOST:
+                ends.append(k)
+                begin = k
+        ends += [len(data)] * bool(data)
+        return {xxhash.xxh32_intdigest(data[a:b]): b - a for a, b in zip([0, *ends], ends, strict=False)}
+
+    def text_of(found):
+        return base64.b64encode(b"".join(k.to_bytes(4, "little") + v.to_bytes(2, "little") for k, v in sorted(found.items()))).decode()
+
+    def near(a, b):
+        return 1.0 if a == b else sum(n for k, n in a.items() if k in b) / sum(a.values()) if a else 0.0
+
+    rng = random.Random(22)
+    rows = [(5 * i, " ".join(f"Word{rng.randint(0, 99)}é" for _ in range(rng.randint(0, 200)))) for i in range(30)]
+    rows += [(1000, None), (1001, rows[3][1] + " and more"), (1002, rows[3][1]), (1003, "")]
+    got = {r.doc_id: r for r in P.edit_likeness(table(rows)).collect()}
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        text, after = text or "", after or ""
+        half = len(text) // 2
+        changed = text[: len(text) - half] + after[:half]
+        own, other, following = chunks(text), chunks(changed), chunks(after)
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), sha(changed), text_of(own), text_of(other))
+        assert (r.near_edited, r.near_next) == (pytest.approx(near(own, other)), pytest.approx(near(own, following)))
+
+
+def test_place_among(spark):
+    from gradus.llm.common import place_among
+
+    for cuts in ([], [5], [1, 5, 9], list(range(0, 700, 7))):
+        got = spark.range(-3, 720).select("id", place_among(cuts, F.col("id")).alias("at")).collect()
+        assert all(r["at"] == sum(c <= r.id for c in cuts) for r in got)
+
+
+def test_mix_of_long_texts_and_too_many_sources(table):
+    from hard_rows import LONG
+
+    from gradus.llm.mixing import mix
+
+    out = mix(table([(1, LONG, "en", "a"), (2, "x", "en", "a"), (3, "y", "en", "b")]), block_chars=50).collect()
+    assert {r.doc_id: (r.source, r.place, r.block) for r in out} == {1: ("a", 0, 0), 2: ("a", len(LONG), len(LONG) // 50), 3: ("b", 0, 0)}
+    with pytest.raises(ValueError):
+        mix(table([(1, "x", "en", "a"), (2, "y", "en", "b")]), max_slots=1)
+
+
+def test_bpe_decode_of_odd_ids(spark, bpe):
+    import public_tokenizers
+
+    from gradus.llm.byte_bpe import bpe_decode
+
+    at = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    half = bpe[0].encode("é").tolist()[:1] if len(bpe[0].encode("é")) > 1 else bpe[0].encode("😀").tolist()[:1]
+    rows = spark.createDataFrame([(1, None), (2, []), (3, half), (4, bpe[0].encode("ok").tolist()), (4, None)], "doc_id long, ids array<int>")
+    got = sorted((r.doc_id, r.text) for r in bpe_decode(rows, *at).collect())
+    assert got == [(1, ""), (2, ""), (3, "\ufffd"), (4, ""), (4, "ok")]
+    assert bpe_decode(rows.limit(0), *at).count() == 0
+
+
+def test_one_row_of_each_component_is_kept(table):
+    from gradus.llm.ngram_jaccard import ngram_jaccard
+
+    text = "some words that are the same in all of these"
+    rows = [(None, text), (5, text), (5, text), (6, text), (9, None), (9, None), (3, "another text of only a few words"), (4, text + " x")]
+    out = ngram_jaccard(table(rows), percent=70, decide=True).collect()
+    assert Counter((r.component_id, r.n_shingles > 0) for r in out if r.kept) == {(None, True): 1, (3, True): 1, (9, False): 2}
+
+
+def brute_pipeline(rows, library):
+    """The stages over lists of (id, text, lang, source): what each gives, in order."""
+    from corpus_pipeline import WEIGHTS
+
+    key = lambda i: -(2**63) if i is None else i
+    crc = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 3 != 1
+    predict = brute_language([(i, t, x) for i, t, x, _ in rows], crc)
+    docs = [(i, t, *predict(t), source) for i, t, _, source in rows]
+    docs = [(i, t, lang, source) for i, t, lang, score, source in docs if lang != "und" and score >= 0.5]
+    yield docs
+    first = {}
+    for i, t, *_ in docs:
+        for line in t.split("\n"):
+            k = lower(line.strip(SPACE))
+            first[k] = min(first.get(k, key(i)), key(i))
+    stays = lambda line, i: len(lower(line.strip(SPACE))) < 10 or first[lower(line.strip(SPACE))] == key(i)
+    docs = [(i, "\n".join(x for x in t.split("\n") if stays(x, i)), *rest) for i, t, *rest in docs]
+    yield docs
+    sets, group = [shingles(r[1]) for r in docs], list(range(len(docs)))
+    for x in range(len(docs)):
+        for y in range(x):
+            if sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 90 * len(sets[x] | sets[y]):
+                a, b = group[x], group[y]
+                group = [b if g == a else g for g in group]
+    best = {}
+    for x, g in enumerate(group):
+        if g not in best or key(docs[x][0]) < key(docs[best[g]][0]):
+            best[g] = x
+    docs = [r for x, r in enumerate(docs) if best[group[x]] == x]
+    yield docs
+    from gradus.llm.mixing import pfair
+
+    sources = sorted({r[3] for r in docs})
+    units = [WEIGHTS.get(x, 1) for x in sources]
+    slots, placed = dict(zip(sources, pfair(units), strict=True)), []
+    for source, unit in zip(sources, units, strict=True):
+        place = 0
+        for r in sorted((r for r in docs if r[3] == source), key=lambda r: (key(r[0]), len(r[1]))):
+            block = place // (1 << 16)
+            placed.append((block // unit * sum(units) + slots[source][block % unit], place, r))
+            place += len(r[1])
+    docs = [r for _, _, r in sorted(placed, key=lambda x: x[:2])]
+    yield docs
+    yield [(i, len(ids := library.encode_ordinary(t)), ids) for i, t, *_ in docs]
+
+
+def pipeline_rows():
+    rng = random.Random(23)
+    words = {"en": ["the", "stone", "walks", "light", "under"], "de": ["der", "stein", "geht", "licht", "unter"]}
+    rows = []
+    for i in range(40):
+        lang = rng.choice(["en", "de"])
+        rows.append((100 + i, "\n".join(" ".join(rng.choices(words[lang], k=rng.randint(3, 12))) for _ in range(rng.randint(1, 4))), lang, f"src{i % 4}"))
+    text = " ".join(rng.choices(words["en"], k=80))
+    rows += [(9, text, "en", "src0"), (9, text, "en", "src0"), (12, text, "en", "src1"), (None, text, "en", "src1")]
+    rows += [(20, text + " and", "en", "src2"), (21, "the stone\nwalks " * 40, "en", "src3"), (9, "der stein geht unter licht heute", "de", "src0")]
+    return rows + [(1, None, "en", "src0"), (2, "", "de", "src0"), (3, "12 34", None, "src1"), (None, "der geht", None, "src2")]
+
+
+def test_pipeline_is_the_brute_force(spark, tmp_path, table, bpe):
+    import corpus_pipeline
+
+    rows = pipeline_rows()
+    docs = table(rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    flat = lambda rows: sorted((-1 if r[0] is None else r[0], *map(str, r[1:])) for r in rows)
+    at = docs
+    for (name, stage), want in zip(corpus_pipeline.STAGES, brute_pipeline(rows, bpe[1]), strict=True):
+        before, at = at, stage(spark, at, str(tmp_path))
+        if name == "byte_bpe":
+            got = [(r.doc_id, r.n_tokens, r.ids) for r in at.collect()]
+        else:
+            assert at.columns == docs.columns
+            got = [(r.doc_id, r.text, r.lang, r.source) for r in at.collect()]
+            assert all(r.n_chars == len(r.text) for r in at.collect() if name != "language_id")
+        if name == "near_duplicates":  # of rows that repeat an identifier and text any may stay
+            assert flat(r[:2] for r in got) == flat(r[:2] for r in want)
+        else:
+            assert flat(got) == flat(want), name
+        if name == "mix_sources":
+            assert [r[0] for r in got] == [r[0] for r in want]
+        if name != "byte_bpe":
+            at.write.parquet(f"{tmp_path}/{name}")
+            at = spark.read.schema(at.schema).parquet(*sorted(map(str, (tmp_path / name).glob("*.parquet"))))
+    assert flat((r.doc_id, r.n_tokens, r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == flat(want)
+
+
 def test_pipeline(spark, tmp_path, table):
     import corpus_pipeline
 
