@@ -45,7 +45,7 @@ class Table:
 class ByteBpe:
     """Encode and decode like the tiktoken library without special tokens; matches are encoded separately."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 200_000):
+    def __init__(self, path: str, pattern: str, limit: int = 120_000):
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))

@@ -64,7 +64,7 @@ class WordFirst:
 class Scorer:
     """Scores texts, with the vectors of words remembered by row of a matrix."""
 
-    def __init__(self, model: WordFirst, limit: int = 400_000):
+    def __init__(self, model: WordFirst, limit: int = 150_000):
         self.model, self.limit = model, limit
         self._fresh()
 

@@ -54,7 +54,7 @@ class PrefixBpe:
             else:
                 self.finder.add_word(_symbols(name), k)
         self.finder.make_automaton()
-        self.pairs = Memo(self._pair_stays, 250_000, longest=2)
+        self.pairs = Memo(self._pair_stays, 100_000, longest=2)
         self.states: Memo = Memo(lambda text: self.extend(text, array("i")), remembered)
 
     def merged(self, text) -> list:
