@@ -247,6 +247,11 @@ def _split(words: bytes) -> list[bytes]:
     return words.split(b"\n")
 
 
+def _joined(words: pa.Array) -> pa.Array:
+    """One row, which _split() takes apart faster than to_pylist() would."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), b"\n")
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
@@ -264,6 +269,32 @@ class _Numbers(dict):
         return number
 
 
+class Words:
+    """The tokens of a block's documents, gathered in arrays and then numbered at once."""
+
+    def __init__(self) -> None:
+        self.arrays: list[pa.Array] = []
+        self.last: list[bytes] = []
+
+    def add(self, words: list[bytes]) -> int:
+        """Add a document, which the end token ends; the number of its tokens."""
+        self.last += words
+        self.last.append(b"")
+        if len(self.last) >= 100_000:
+            self._pass()
+        return len(words) + 1
+
+    def _pass(self) -> None:
+        self.arrays.append(pa.array(self.last, pa.binary()))
+        self.last = []
+
+    def numbered(self) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words in the order in which they first occur, and the place of each token among them."""
+        self._pass()
+        found = pa.concat_arrays(self.arrays).dictionary_encode()
+        return found.dictionary, found.indices.to_numpy()
+
+
 def _coded(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
     """One row for each block: its documents, their tokens as numbers, and its words in the order of their hashes, by
     which they are numbered, with their training counts."""
@@ -286,38 +317,37 @@ def _coded(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFr
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
-        numbers, docs, kind = _Numbers(), [], None
+        words, docs, tokens, kind = Words(), [], 0, None
 
         def coded() -> pa.RecordBatch:
-            doc_ids, learns, found = zip(*docs, strict=True)
-            words = list(numbers)
-            hashes = _hashes(words)
+            doc_ids, learns, sizes = zip(*docs, strict=True)
+            known, numbers = words.numbered()
+            hashes = _hashes(_split(_joined(known)[0].as_py()))
             order = np.argsort(hashes, kind="stable")
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order), dtype=np.int32)
-            sizes = np.array([len(x) for x in found], np.int32)
-            ids = rank[np.concatenate(found)]
-            counts = np.bincount(ids[np.repeat(np.array(learns), sizes)], minlength=len(words))
+            ids = rank[numbers]
+            counts = np.bincount(ids[np.repeat(np.array(learns), sizes)], minlength=len(order))
             row = [
                 pa.array([block], pa.int64()),
                 pa.array([list(doc_ids)], pa.list_(kind)),
-                pa.array([sizes], pa.list_(pa.int32())),
+                pa.array([list(sizes)], pa.list_(pa.int32())),
                 pa.array([list(learns)], pa.list_(pa.bool_())),
-                *(pa.array([x], pa.binary()) for x in (pack(ids), b"\n".join([words[k] for k in order]), _packed_sorted(hashes[order]), pack(counts.astype(np.int64)))),
+                pa.array([pack(ids)], pa.binary()),
+                _joined(known.take(pa.array(order))),
+                *(pa.array([x], pa.binary()) for x in (_packed_sorted(hashes[order]), pack(counts.astype(np.int64)))),
             ]
             return pa.RecordBatch.from_arrays(row, names=schema.names)
 
-        tokens = 0
         for batch in batches:
             kind = batch.column(0).type
             for doc_id, text, learns in zip(*batch.columns, strict=True):
-                words = text.as_py().lower().split()
-                words.append(b"")
-                docs.append((doc_id.as_py(), learns.as_py(), np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))))
-                tokens += len(words)
+                size = words.add(text.as_py().lower().split())
+                docs.append((doc_id.as_py(), learns.as_py(), size))
+                tokens += size
                 if tokens >= BLOCK_TOKENS:
                     yield coded()
-                    numbers, docs, tokens, block = _Numbers(), [], 0, block + 1
+                    words, docs, tokens, block = Words(), [], 0, block + 1
         if docs:
             yield coded()
 

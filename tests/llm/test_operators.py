@@ -387,6 +387,23 @@ def test_lm_context_does_not_depend_on_size():
     assert pitman_yor.Spelling(many, np.ones(len(many), np.int64), 1, sweeps=0).top == top
 
 
+def test_lm_words_are_numbered_as_they_first_occur():
+    import numpy as np
+
+    from gradus.llm import pitman_yor
+
+    rng, words, tokens = random.Random(9), pitman_yor.Words(), []
+    for size in [0, 1, 0, 120_000, *rng.choices(range(3000), k=100)]:  # several arrays, and a document that fills one
+        own = [b"%d" % rng.randint(0, 20_000) if rng.random() < 0.9 else "é\0".encode() for _ in range(size)]
+        assert words.add(list(own)) == size + 1
+        tokens += [*own, b""]
+    known, numbers = words.numbered()
+    assert known.to_pylist() == list(dict.fromkeys(tokens)) and numbers.dtype == np.int32
+    assert [known[k].as_py() for k in numbers[:5000].tolist()] == tokens[:5000]
+    place = {w: k for k, w in enumerate(known.to_pylist())}
+    assert numbers.tolist() == [place[w] for w in tokens]
+
+
 def test_seat_is_one_customer_after_the_other(monkeypatch):
     import numpy as np
 
